@@ -32,6 +32,11 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of word windows, and their inverses."""
+    return _power(_Q, n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
