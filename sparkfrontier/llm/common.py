@@ -38,11 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage_out(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor takes nothing along."""
+def stage_out(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor takes nothing along.
+
+    Rebalanced tables get as many files as their size asks for, split where a partition is too large.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkfrontier/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,6 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
         lower = near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        lower = stage_out(lower, f"{name}-near")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = stage_out(lower.join(jump, "label").select("node", F.least("label", "next").alias("label")), f"{name}-labels")
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
