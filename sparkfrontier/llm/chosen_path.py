@@ -139,6 +139,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = group.num_rows
         if n < 2:
             continue
+        group = group.take(np.argsort(group.column("node").to_numpy(), kind="stable"))  # stars around the smallest node: other buckets give the same edges
         node = group.column("node").to_numpy()
         side = group.column("side").to_numpy()
         size = group.column("size").to_numpy().astype("f8")
