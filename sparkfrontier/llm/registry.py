@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "sharding", "rules", "toxicity", "quality", "html", "chosen_path", "substrings", "decontamination"]
+MODULES = ["mixing", "sharding", "rules", "toxicity", "quality", "html", "chosen_path", "substrings", "decontamination", "pii"]
 
 _modules = [import_module(f"sparkfrontier.llm.{name}") for name in MODULES]
 QUERIES = {name: f for m in _modules for name, f in m.QUERIES.items()}
