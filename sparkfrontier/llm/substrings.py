@@ -90,9 +90,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc long, tie long, body) of different texts -> (doc, tie, start, count): windows that also start earlier, by first window and number."""
     found = texts.mapInArrow(_occurrences, "anchor long, path long, doc long, tie long, start int, count int")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    hits = stage_out(found.join(twice, "anchor"), "spans-hits")
+    twice = stage_out(twice, "spans-anchors", rebalance=False)  # a plain table, so that the join can split a frequent anchor
+    hits = stage_out(found.join(twice, "anchor"), "spans-hits", rebalance=False)
     first = hits.groupBy("anchor", "path").agg(F.min(F.struct("doc", "start", "tie")).alias("source"))
-    first = stage_out(first, "spans-paths")
+    first = stage_out(first, "spans-paths", rebalance=False)
     source = first.select(F.col("path").alias("p"), F.col("anchor").alias("a"), "source")
     later = hits.join(source, (F.col("path") == F.col("p")) & (F.col("anchor") == F.col("a"))).where((F.col("doc") != F.col("source.doc")) | (F.col("start") != F.col("source.start")))
     branching = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -101,7 +102,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     check = check.join(count, ["anchor", "path"]).select("doc", "tie", "start", "count")
     wanted = _spans_by_doc(check).withColumnsRenamed({"doc": "d", "tie": "t"})
     at_source = texts.join(wanted, (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t"))).select("doc", "tie", "body", "spans").mapInArrow(_checked_windows, "h1 long, h2 long, doc long, tie long, start int")
-    at_source = stage_out(at_source, "spans-windows")
+    at_source = stage_out(at_source, "spans-windows", rebalance=False)
     earliest = at_source.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("source"), F.count("*").alias("n")).where("n > 1")
     shared = at_source.join(earliest, ["h1", "h2"]).where((F.col("doc") != F.col("source.doc")) | (F.col("start") != F.col("source.start")))
     return later.select("doc", "tie", "start", "count").unionByName(shared.select("doc", "tie", "start", F.lit(1).alias("count")))
@@ -162,7 +163,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str =
     shared_ids = rows.groupBy("doc").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("not (a <=> b)").select(F.col("doc").alias("d"))
     shared_ids = small(stage_out(shared_ids, "spans-ids")).withColumn("tied", F.lit(True))
     rows = rows.join(shared_ids, F.col("doc") == F.col("d"), "left").withColumn("tie", F.when(F.col("tied"), F.coalesce("text_hash", F.lit(0))).otherwise(0)).drop("d", "tied", "text_hash")
-    spans = stage_out(_spans_by_doc(repeated_spans(rows.where("not copy and body is not null").select("doc", "tie", "body"))), "spans-found").withColumnsRenamed({"doc": "d", "tie": "t"})
+    spans = stage_out(_spans_by_doc(repeated_spans(rows.where("not copy and body is not null").select("doc", "tie", "body"))), "spans-found", rebalance=False).withColumnsRenamed({"doc": "d", "tie": "t"})
     out = rows.join(spans, (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t")), "left").select("rest", "body", "copy", "spans")
     rest_type = out.schema["rest"].dataType.simpleString()
     cut = out.mapInArrow(_cut_digest if digest else _cut, f"rest {rest_type}, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
