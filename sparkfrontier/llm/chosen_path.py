@@ -66,22 +66,22 @@ def _set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_ROWS = "id string, node long, size int, sketch binary, buckets array<long>"
+_ROWS = "id string, text_hash long, node long, size int, sketch binary, buckets array<long>"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         node, size, sketch, buckets = [None] * n, [0] * n, [None] * n, [None] * n
-        for row, tokens in shingle_sets(batch.column(1)):
+        for row, tokens in shingle_sets(batch.column(2)):
             if len(tokens):
                 mins = _embed(tokens)
                 node[row], size[row] = _set_id(tokens), len(tokens)
                 sketch[row] = (mins & np.uint64(0xFFFF)).astype("<u2").tobytes()  # a minimum's low bits are even, its high bits aren't
                 buckets[row] = mins[: RUNS * BRANCH].view("i8") ^ np.arange(RUNS * BRANCH)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-            names=["id", "node", "size", "sketch", "buckets"],
+            [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+            names=["id", "text_hash", "node", "size", "sketch", "buckets"],
         )
 
 
@@ -259,25 +259,25 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, set_node, class_id, n_links.
+    """One row per input row: id, text_hash, set_node, class_id, class_hash, n_links.
 
     A link joins two rows whose sets of five-word shingles have a Jaccard similarity of THRESHOLD or more; a text of
-    fewer words is one shingle, a text without words (null, empty) has no set and no link. class_id is the smallest id that
-    links lead to from a row, its own id if it has none; n_links counts the other rows it is linked to, copies included.
-    Rows with a null id take part, and name a class only if all its ids are null. Ids are compared as the column's type
-    does. An empty table gives an empty result.
+    fewer words is one shingle, a text without words (null, empty) has no set and no link. A class is what links lead to
+    from a row; class_id and class_hash are those of its first row by id (nulls last) and hash of the text. n_links counts the other
+    rows that a row is linked to, copies included. Ids are compared as their type does. An empty table gives an
+    empty result; other columns aren't read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("body"))
+    plain = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("body"))
     rows = stage_out(plain.mapInArrow(_rows, _ROWS), "path-rows").withColumn("id", F.col("id").cast(id_type))
-    sets = stage_out(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.max("buckets").alias("buckets")), "path-sets")
+    first = F.min(F.struct(F.col("id").isNull().alias("nul"), "id", "text_hash")).alias("rep")
+    sets = stage_out(rows.where("node is not null").groupBy("node").agg(first, F.count("*").alias("m"), F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.max("buckets").alias("buckets")), "path-sets")
     edges = stage_out(_candidates(sets), "path-candidates")
     groups = connected(edges, "path-groups")
     groups = stage_out(groups.join(sets.select("node", "rep", "m", "size"), "node"), "path-members")
     sizes = groups.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    members = stage_out(groups.join(sizes, "label").select("label", "blocks", "node", "rep", "m"), "path-blocks")
-    same = F.col("id").eqNullSafe(F.col("rep"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).join(small(members), same).select("body", "label", "blocks", "node", "m")
+    members = stage_out(groups.join(sizes, "label").select("label", "blocks", "node", F.col("rep.text_hash").alias("rep_hash"), "m"), "path-blocks")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("body")).join(small(members), F.col("text_hash") == F.col("rep_hash")).select("body", "label", "blocks", "node", "m")
     whole = texts.mapInArrow(_sets, "label long, blocks int, node long, m long, tokens binary")
     blocks = _blocked(whole, F.col("blocks")).select("label", "i", "j", "side", "node", "m", "tokens")
     exact = stage_out(blocks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_exact, "a long, b long, w long"), "path-links")
@@ -286,23 +286,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = sets.where("m > 1").select("node").union(classes.select("node")).distinct()
     known = linked.join(sets.select("node", "rep", "m"), "node").join(classes, "node", "left").join(counts, "node", "left")
     known = known.select("node", "rep", F.coalesce("label", "node").alias("label"), (F.coalesce("w", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    names = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    known = stage_out(known.join(names, "label").select("node", "class_id", "n_links"), "path-known")
-    out = rows.select("id", "node").join(small(known), "node", "left")
-    return out.select("id", F.col("node").alias("set_node"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    names = known.groupBy("label").agg(F.min("rep").alias("class"))
+    known = stage_out(known.join(names, "label").select("node", "class", "n_links"), "path-known")
+    out = rows.select("id", "text_hash", "node").join(small(known), "node", "left")
+    own = lambda theirs, mine: F.when(F.col("n_links").isNull(), F.col(mine)).otherwise(F.col(theirs))
+    return out.select("id", "text_hash", F.col("node").alias("set_node"), own("class.id", "id").alias("class_id"), own("class.text_hash", "text_hash").alias("class_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that have a smaller id in their class; docs' own columns.
+    """docs with the first row of each class only; docs' own columns.
 
-    Documents without words are no copies of each other and all stay. Rows equal in id and set count once.
+    Documents without words are no copies of each other and all stay. Of rows equal in id and text one stays.
     """
-    found = jaccard_join(docs, id_col, text_col)
-    gone = found.where("not (id <=> class_id)").select("id", "set_node").distinct()
-    twice = found.where("set_node is not null").groupBy("id", "set_node").agg(F.count("*").alias("c")).where("c > 1")
-    gone = stage_out(gone.select(F.col("id").alias("gone_id")).distinct(), "path-gone")
-    out = docs.join(small(gone), F.col(id_col) == F.col("gone_id"), "left_anti")
-    return out if twice.isEmpty() else out.dropDuplicates([id_col, text_col])
+    found = stage_out(jaccard_join(docs, id_col, text_col), "path-classed")
+    gone = found.where("not (id <=> class_id and text_hash = class_hash)").select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = stage_out(gone, "path-gone")
+    out = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_hash")), "left_anti")
+    twice = found.where("set_node is not null").groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("twice_id"), F.col("text_hash").alias("twice_hash"))
+    twice = stage_out(twice, "path-twice")
+    if twice.isEmpty():
+        return out
+    same = F.col(id_col).eqNullSafe(F.col("twice_id")) & (F.xxhash64(text_col) == F.col("twice_hash"))
+    return out.join(small(twice), same, "left_anti").unionByName(out.join(small(twice), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op3_jaccard_join(spark, sf_dir):
