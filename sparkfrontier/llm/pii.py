@@ -35,11 +35,16 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? |(?:{'|'.join(x for g in GIVEN for x in g)}) ){_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?=[\p{{Lu}}г])(?:(?:{'|'.join(TITLES)})\.? |(?:{'|'.join(x for g in GIVEN for x in g)}) ){_NAME}(?: {_NAME}){{0,2}}",
 }
-ENTITY = "|".join(PATTERNS.values())
+_AT_WORD, _AT_NUMBER = ("email", "secret", "iban", "hex", "name"), ("ip", "phone", "ssn", "card")
+#: One look at the sign and the sign before decides which patterns are tried at a place.
+ENTITY = (
+    rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}_/+-])(?:{'|'.join(PATTERNS[k] for k in _AT_WORD)})"
+    rf"|(?<![0-9])(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in _AT_NUMBER)})"
+)
 #: A text without any of these has no entity; saves the full pattern.
-HINT = rf"@|[0-9]{{2}}|(?:{'|'.join(TITLES)})\.? \p{{Lu}}|(?:{'|'.join(x for g in GIVEN for x in g)}) \p{{Lu}}"
+HINT = rf"(?=[@0-9\p{{Lu}}г])(?:@|[0-9]{{2}}|\p{{Lu}}[\p{{Ll}}]+ \p{{Lu}}[\p{{Ll}}]|(?:{'|'.join(TITLES)})\.? \p{{Lu}}|[0-9A-Fa-f]{{1,2}}:[0-9A-Fa-f])"
 
 _ENTITIES = "array<struct<raw:string,kind:string,norm:string>>"
 
@@ -187,7 +192,7 @@ def surrogate(docs: DataFrame, keep: list[str] | None = None, text_col: str = "t
     kept = [c for c in only(docs, keep) if c.lower() not in {"pii_entities", text_col.lower()}]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept])
     body = docs.select(row.alias("row"), F.col(text_col).alias("t"))
-    odd = exceptions(body.select(F.explode(keys(entities(F.col("t")))).alias("x")).select("x.*"), secret)
+    odd = exceptions(body.select(entities(F.col("t")).alias("found")).select(F.explode(keys(F.col("found"))).alias("x")).select("x.*"), secret)
     held = body.withColumn("found", entities(F.col("t")))
     if odd.isEmpty():
         held, attempt_of = held.withColumn("odd", F.lit(None)), lambda kind, norm: F.lit(0)
