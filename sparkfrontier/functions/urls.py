@@ -8,6 +8,7 @@ from urllib.parse import quote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sparkfrontier.config import DEFAULTS, Settings
 
@@ -131,6 +132,6 @@ def normalize(href: str | None, base: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([normalize(h, b) for h, b in zip(href, base, strict=True)], dtype=object)
