@@ -58,6 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(columns: list[str]) -> Column:
+    """The columns as one struct, which no working column can clash with; it has a field more, so that it is never empty."""
+    spare = "_"
+    while spare in {c.lower() for c in columns}:
+        spare += "_"
+    return F.struct(F.lit(0).alias(spare), *[F.col(f"`{c}`") for c in columns])
+
+
 def only(df: DataFrame, columns: list[str] | None) -> list[str]:
     """The columns to keep: all, or those of the list that df has."""
     have = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, small, stage_out, table, words
+from sparkfrontier.llm.common import only, packed, small, stage_out, table, words
 
 WINDOW = 8
 #: A document is first probed at every STRIDE-th word: a run of WINDOW + STRIDE - 1 matching words can't be missed.
@@ -104,7 +104,7 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     """
     kept = [c for c in only(docs, keep) if c.lower() not in {"contaminated", "leaked_items"}]
     found = leaks(docs, benchmark, text_col, item_col, item_text_col).withColumnRenamed("text_hash", "h")
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept])
+    row = packed(kept)
     out = docs.select(row.alias("row"), F.xxhash64(text_col).alias("text_hash")).join(small(found), F.col("text_hash") == F.col("h"), "left")
     return out.select(*[f"row.`{c}`" for c in kept], F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("leaked_items"))
 

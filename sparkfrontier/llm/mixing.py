@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, small, stage_out, table, uniform, word_count
+from sparkfrontier.llm.common import only, packed, small, stage_out, table, uniform, word_count
 
 #: Documents folded in one task step; the tree has log_BLOCK(documents of the largest source) levels.
 BLOCK = 64
@@ -78,7 +78,7 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None, id_col: str = "d
     kept = [c for c in only(docs, keep) if c.lower() not in {"mix_size", "mix_source_size", "mix_target", "mix_copies"}]
     id_type = docs.schema[id_col].dataType.simpleString()
     key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
-    base = docs.select(F.struct(F.lit(1)).alias("_") if not kept else F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_"), F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"))
+    base = docs.select(packed(kept).alias("_"), F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"))
     narrow = base.drop("_").groupBy("id", "key", "src", "size").agg(F.count("*").alias("m"))
     items = stage_out(narrow, "mix-items")
     plan = stage_out(targets(items.groupBy("src").agg(F.sum(F.col("size") * F.col("m")).cast("long").alias("source_size"), F.count("*").alias("n")), max_repeat), "mix-targets")

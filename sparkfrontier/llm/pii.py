@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, small, stage_out, table
+from sparkfrontier.llm.common import only, packed, small, stage_out, table
 
 # Titles and given names by gender and script.
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Señora", "г-н", "г-жа"]
@@ -190,7 +190,7 @@ def surrogate(docs: DataFrame, keep: list[str] | None = None, text_col: str = "t
     An empty table gives an empty result. The same key gives the same surrogates in every run over the same entities.
     """
     kept = [c for c in only(docs, keep) if c.lower() not in {"pii_entities", text_col.lower()}]
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept])
+    row = packed(kept)
     body = docs.select(row.alias("row"), F.col(text_col).alias("t"))
     odd = exceptions(body.select(entities(F.col("t")).alias("found")).select(F.explode(keys(F.col("found"))).alias("x")).select("x.*"), secret)
     held = body.withColumn("found", entities(F.col("t")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import WORD, only, small, stage_out, table, words
+from sparkfrontier.llm.common import WORD, only, packed, small, stage_out, table, words
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -85,8 +85,7 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, text_col: str
     """
     added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"}
     kept = [c for c in only(docs, keep) if c.lower() not in added]
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(1))
-    base = base_statistics(docs.select(row.alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("body")), "body")
+    base = base_statistics(docs.select(packed(kept).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("body")), "body")
     base = base.withColumn("text_hash", F.xxhash64("body")).drop("body")
     removed = boilerplate_words(docs, text_col, host_col).select(F.col("host").alias("host_"), F.col("text_hash").alias("hash_"), "removed")
     out = base.join(removed, (F.col("text_hash") == F.col("hash_")) & F.col("host").eqNullSafe(F.col("host_")), "left")

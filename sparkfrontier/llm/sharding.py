@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, stage_out, table
+from sparkfrontier.llm.common import only, packed, stage_out, table
 
 #: A range holds about so many bytes; there are at least MIN_RANGES and at most MAX_RANGES, so that what the driver
 #: holds (16 sampled keys of 24 bytes a range) is bounded.
@@ -80,14 +80,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, keep: list[str] | None
     added = {"shard_size", "shard", "shard_slot"}
     kept = [c for c in only(docs, keep) if c.lower() not in added]
     size: Column = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 8
-    head = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(1))
-    base = docs.select(head.alias("_"), size.alias("size"), F.xxhash64(text_col).alias("k1"), F.xxhash64(F.col(id_col)).alias("k2"), F.col(id_col).cast("string").alias("id"))
+    base = docs.select(packed(kept).alias("_"), size.alias("size"), F.xxhash64(text_col).alias("k1"), F.xxhash64(F.col(id_col)).alias("k2"), F.col(id_col).cast("string").alias("id"))
     if keep is not None:  # few narrow columns: read the texts once
         base = stage_out(base, "shard-rows")
     work = base.drop("_") if keep is not None else stage_out(base.drop("_"), "shard-rows")
     total = work.agg(F.sum("size")).first()[0]
     if not total:
-        return base.select("_.*" if kept else "size", F.col("size").alias("shard_size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_slot"))
+        return base.select(*[f"_.`{c}`" for c in kept], F.col("size").alias("shard_size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_slot"))
     cuts, found = _cuts(work, total, max(MIN_RANGES, min(MAX_RANGES, -(-total // RANGE_BYTES))))
     before_b, before_n = np.zeros(len(cuts) + 1, "i8"), np.zeros(len(cuts) + 1, "i8")
     for x in found:

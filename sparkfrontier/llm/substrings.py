@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, small, stage_out, table
+from sparkfrontier.llm.common import only, packed, small, stage_out, table
 from sparkfrontier.llm.tokens import mix, powers, windows, word_hashes
 
 K, M = 20, 5
@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str =
     added = {"n_words", "n_removed", "kept_text", "kept_sha256"}
     kept = [c for c in only(docs, keep) if c.lower() not in added]
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("rest"), doc.alias("doc"), F.col(text_col).cast("string").alias("body")).withColumn("text_hash", F.xxhash64("body"))
+    rows = docs.select(packed(kept).alias("rest"), doc.alias("doc"), F.col(text_col).cast("string").alias("body")).withColumn("text_hash", F.xxhash64("body"))
     groups = rows.where("body is not null").groupBy("text_hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text_hash").alias("h"), "first")
     groups = small(stage_out(groups, "spans-copies"))
     rows = rows.join(groups, F.col("text_hash") == F.col("h"), "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).drop("h", "first")
