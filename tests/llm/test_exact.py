@@ -167,7 +167,7 @@ def test_base_statistics(spark):
 
 def test_boilerplate_depletes(spark):
     menu = "\n".join(" ".join(f"m{chr(97 + i)}{chr(97 + k)}" for k in range(7)) for i in range(20))
-    own = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
+    own = lambda i: " ".join(chr(97 + i // 26) + chr(97 + i % 26) + chr(97 + k // 26) + chr(97 + k % 26) for k in range(60))
     rows = [(i, f"{own(i)}\n{menu}", "h") for i in range(30)] + [(100 + i, own(100 + i), "h") for i in range(30)] + [(200, f"{own(200)}\n{menu}", "other")] + [(300 + i, own(300), "copies") for i in range(40)]
     got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(got[i] for i in range(30))
