@@ -28,6 +28,8 @@ TARGET_RECALL = 0.9999
 BRANCH, LEVELS = 2, 6
 #: A bucket of more sets than this is split; a block of a comparison has about so many sets, or tokens, at most.
 BUCKET, BLOCK, BLOCK_TOKENS = 2048, 1024, 1 << 21
+#: Groups of more than SPREAD sets are cut into up to WAYS blocks already, so that other tasks share the work.
+SPREAD, WAYS = 128, 16
 COORDINATES = 48
 #: Splitting doesn't help a bucket in which this share of the sets agrees in a token.
 DENSE = 0.5
@@ -168,6 +170,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _blocks(n: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.lit(WAYS), F.ceil(n / SPREAD)))
+
+
 def _blocked(df: DataFrame, blocks: Column) -> DataFrame:
     """Rows of a large group once for each pair of blocks that they take part in: columns i, j, side."""
     df = df.withColumn("_g", F.greatest(F.lit(1), blocks).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("_g")).cast("int"))
@@ -196,7 +202,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
         top = stage_out(share.groupBy("bucket").agg((F.sum("k") / 4).alias("k")), "path-dense")
         hot = hot.join(small(top), "bucket")
         dense = (F.col("k") > DENSE * F.col("n")) | F.lit(level == LEVELS)
-        found.append(compare(_blocked(hot.where(dense), F.ceil(F.col("n") / BLOCK))))
+        found.append(compare(_blocked(hot.where(dense), _blocks(F.col("n")))))
         chosen = [F.struct(F.xxhash64("bucket", F.lit(b), F.expr(f"substring(sketch, cast(2 * pmod(xxhash64(bucket, {b}), {COORDINATES}) + 1 as int), 2)")).alias("bucket")) for b in range(BRANCH)]
         entries = hot.where(~dense).select(F.explode(F.array(*chosen)).alias("c"), "node", "size", "sketch").select("c.bucket", "node", "size", "sketch")
     out = found[0]
@@ -275,7 +281,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = stage_out(_candidates(sets), "path-candidates")
     groups = connected(edges, "path-groups")
     groups = stage_out(groups.join(sets.select("node", "rep", "m", "size"), "node"), "path-members")
-    sizes = groups.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    sizes = groups.groupBy("label").agg(F.greatest(_blocks(F.count("*")), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     members = stage_out(groups.join(sizes, "label").select("label", "blocks", "node", F.col("rep.text_hash").alias("rep_hash"), "m"), "path-blocks")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("body")).join(small(members), F.col("text_hash") == F.col("rep_hash")).select("body", "label", "blocks", "node", "m")
     whole = texts.mapInArrow(_sets, "label long, blocks int, node long, m long, tokens binary")
