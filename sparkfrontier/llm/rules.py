@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import WORD, only, packed, small, stage_out, table, words
+from sparkfrontier.llm.common import only, packed, small, stage_out, table, words
 
-SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 #: A line is boilerplate if more than max(LIMIT_DOCS, LIMIT_SHARE * texts) different texts of its host hold it.
 LIMIT_DOCS, LIMIT_SHARE = 10, 0.01
@@ -21,17 +20,13 @@ DEPLETED = 0.5
 MIN_WORDS = 50
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
-
-
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def normal_line(line: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed, digits as 0."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), "[0-9]", "0")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*| [\x20\x09-\x0D]+", " "), "[1-9]", "0")))
 
 
 def base_statistics(df: DataFrame, text: str) -> DataFrame:
@@ -49,11 +44,10 @@ def base_statistics(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_q", F.expr("transform(_p, p -> _h[p])"))
     df = df.withColumn("_d", F.expr("sort_array(filter(_p, (p, j) -> (j > 0 and _q[j] = _q[j - 1]) or (j + 1 < size(_q) and _q[j] = _q[j + 1])))"))
     repeat = F.expr("aggregate(_d, named_struct('end', 0, 'n', 0L), (a, p) -> named_struct('end', p + 3, 'n', a.n + 3 - greatest(0, a.end - p)), a -> a.n)")
-    word_chars = F.char_length("_t") - _without(F.col("_t"), SPACE)
     out = {
         "n_words": F.col("_n"),
-        "word_chars": word_chars,
-        "n_symbols": _without(F.col("_t"), SYMBOLS),
+        "word_chars": F.char_length(F.array_join("_w", "")),
+        "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)),
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
         "n_repeat_words": repeat,
     }
@@ -62,7 +56,7 @@ def base_statistics(df: DataFrame, text: str) -> DataFrame:
 
 def boilerplate_words(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(host, text_hash, removed): words in boilerplate lines, for each different text of a host that has any."""
-    line = F.transform(_lines(F.col(text_col)), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("w")))
+    line = F.transform(F.transform(_lines(F.col(text_col)), normal_line), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("w")))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), line.alias("lines")).where(F.size("lines") > 0)
     # equal texts count once, and are dropped before anything is exploded
     texts = texts.dropDuplicates(["host", "text_hash"])
