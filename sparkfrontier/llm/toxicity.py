@@ -113,13 +113,18 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[dict, dict]:
     """
     n = [max(1, toxic.count(0)), max(1, toxic.count(1))]
     word_df, stem_df, covers = (Counter(), Counter()), (Counter(), Counter()), {}
-    for text, y in zip(texts, toxic, strict=True):
+    for text in (t for t, y in zip(texts, toxic, strict=True) if y):
+        seen = set(_WORD.findall((text or "").lower()))
+        word_df[1].update(seen)
+        stem_df[1].update({w[:k] for w in seen for k in PREFIXES if len(w) > k})
+    often_words, often_stems = ({x for x, c in df[1].items() if c >= MIN_SUPPORT} for df in (word_df, stem_df))
+    for text in (t for t, y in zip(texts, toxic, strict=True) if not y):  # clean rows only count what toxic rows have often
         seen = set(_WORD.findall((text or "").lower()))
-        word_df[y].update(seen)
-        stem_df[y].update({w[:k] for w in seen for k in PREFIXES if len(w) > k})
+        word_df[0].update(seen & often_words)
+        stem_df[0].update({w[:k] for w in seen for k in PREFIXES if len(w) > k} & often_stems)
     for w in word_df[1]:
         for k in PREFIXES:
-            if len(w) > k:
+            if len(w) > k and w[:k] in often_stems:
                 covers.setdefault(w[:k], set()).add(w)
 
     def weight(a: int, b: int) -> float:
@@ -128,8 +133,8 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[dict, dict]:
     def marks(a: int, b: int) -> bool:  # also with 1.6 standard errors less
         return weight(a, b) >= MIN_WEIGHT and weight(a, b) - 1.6 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= MIN_WEIGHT - 1
 
-    maybe_words = {w for w in word_df[1] if marks(word_df[1][w], word_df[0][w])}
-    maybe_stems = {s for s in stem_df[1] if len(covers.get(s, ())) >= 3 and marks(stem_df[1][s], stem_df[0][s])}
+    maybe_words = {w for w in often_words if marks(word_df[1][w], word_df[0][w])}
+    maybe_stems = {s for s in often_stems if len(covers.get(s, ())) >= 3 and marks(stem_df[1][s], stem_df[0][s])}
     context: dict[str, tuple[set, set]] = {x: (set(), set()) for x in maybe_words | maybe_stems}
     for text, y in zip(texts, toxic, strict=True):
         tokens = ["", *_WORD.findall((text or "").lower()), ""]
