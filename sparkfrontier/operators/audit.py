@@ -62,6 +62,11 @@ def refetch_summary(rows: DataFrame, key: str) -> DataFrame:
     return counted.agg(F.sum("n").alias("rows"), F.count("*").alias("urls"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.col("n") - 1).alias("wasted"))
 
 
-def foreign_keys(rows: DataFrame, key: str, shard: str) -> DataFrame:
-    """Keys that more than one shard has."""
-    return rows.groupBy(key).agg(F.count_distinct(shard).alias("shards")).where("shards > 1")
+def ownership(rows: DataFrame, key: str, shard: str) -> DataFrame:
+    """How many shards have rows of each key; each key should have one."""
+    return rows.groupBy(key).agg(F.count_distinct(shard).alias("shards"))
+
+
+def exit_code(verdict: DataFrame) -> DataFrame:
+    """verdict with code: 0 clean, 1 violations or rows that can't be checked, 2 nothing to check."""
+    return verdict.withColumn("code", F.when(F.col("requests") == 0, 2).when(F.col("ok"), 0).otherwise(1))

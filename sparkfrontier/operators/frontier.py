@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfrontier.config import DEFAULTS
-from sparkfrontier.functions.domains import shard_of
+from sparkfrontier.functions.domains import shard_of, slot_key
 from sparkfrontier.functions.urls import fingerprint
 from sparkfrontier.operators.running import numbered
 
@@ -84,3 +84,10 @@ def owned(rows: DataFrame, key: Column, shard: int, shards: int) -> DataFrame:
 def idle_first(slots: DataFrame, n: int = 1) -> DataFrame:
     """The slots to serve next: idle ones first, by their place in the ring, then the least active."""
     return slots.orderBy(F.col("active").asc(), F.col("ring").asc()).limit(n)
+
+
+def reroute(redirects: DataFrame, seen: DataFrame, shards: int, target: str = "target", sender: str = "sender") -> DataFrame:
+    """Redirect targets as new candidates: those not seen, each once, with the shard that owns them and whether that is another one."""
+    fresh = unseen(redirects, seen, target)
+    first = fresh.groupBy("fp").agg(F.min(F.struct(target, sender)).alias("x")).select(f"x.{target}", f"x.{sender}")
+    return first.withColumn("owner", shard_of(slot_key(F.col(target)), shards)).withColumn("handed_off", F.col("owner") != F.col(sender))

@@ -43,8 +43,7 @@ def refetch_repeats(spark, sf_dir):
 
 def shard_ownership_check(spark, sf_dir):
     rows = r.dispatched(spark, sf_dir).withColumn("shard", shard_of(F.col("slot_id"), 4))
-    foreign = audit.foreign_keys(rows, "slot_id", "shard")
-    return rows.agg(F.count_distinct("slot_id").alias("domains")).crossJoin(foreign.agg(F.count("*").alias("foreign_domains")))
+    return audit.ownership(rows, "slot_id", "shard").agg(F.count("*").alias("domains"), F.count_if(F.col("shards") > 1).alias("foreign_domains"))
 
 
 def log_states(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkfrontier.functions.domains import shard_of
 from sparkfrontier.functions.urls import fingerprint, without_fragment
-from sparkfrontier.operators import frontier
+from sparkfrontier.operators import audit, frontier
 from sparkfrontier.sources import relations as r
 
 
@@ -71,7 +71,24 @@ def idle_slots(spark, sf_dir):
     return frontier.idle_first(slots, 10).select("slot", "ring", "active")
 
 
-QUERIES = {f.__name__: f for f in (url_fingerprint, dedup_first_seen, dedup_anti_join, per_domain_cap, queue_depth, wave_order, admission_caps, limiter_schedule, shard_assignment, shard_balance, handoff_counts, idle_slots)}
+def redirect_reroute(spark, sf_dir):
+    """Pages that redirect to the host's root on another scheme, against the page URLs as seen."""
+    plain = without_fragment(F.col("url"))
+    pages = r.table(spark, sf_dir, "pages").select("page_id", plain.alias("url"))
+    target = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^(https?://[^/?#]+).*$", "$1/moved"))
+    redirects = pages.select(target.alias("target"), (F.col("page_id") % 3).cast("int").alias("sender"))
+    return frontier.reroute(redirects, pages.select(fingerprint(F.col("url")).alias("fp")), 3)
+
+
+def exit_codes(spark, sf_dir):
+    """The audit's exit code for a floor that holds, one that doesn't, and no input."""
+    rows = r.dispatched(spark, sf_dir)
+    runs = [("holds", audit.politeness_verdict(rows, 0.001)), ("broken", audit.politeness_verdict(rows, 3600.0)), ("empty", audit.politeness_verdict(rows.limit(0), 5.0))]
+    out = [audit.exit_code(v).select(F.lit(name).alias("run"), "requests", "code") for name, v in runs]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+QUERIES = {f.__name__: f for f in (url_fingerprint, dedup_first_seen, dedup_anti_join, per_domain_cap, queue_depth, wave_order, admission_caps, limiter_schedule, shard_assignment, shard_balance, handoff_counts, idle_slots, redirect_reroute, exit_codes)}
 
 _U = "u AS (SELECT page_id, split_part(url, '#', 1) AS url FROM pages)"
 _FP = """sha1('{"body": "", "headers": {}, "method": "GET", "url": "' || url || '"}')"""
@@ -99,5 +116,10 @@ SELECT slot, seq, round(start, 3) AS start, round(start - arrive, 3) AS waited F
     "shard_balance": f"""WITH l AS (SELECT {_SHARD.format('c_name', 8)} AS shard, count(DISTINCT c_name) AS n FROM customer GROUP BY 1), k AS (SELECT coalesce(n, 0) AS n FROM range(8) r(i) LEFT JOIN l ON l.shard = r.i)
 SELECT min(n) AS least, max(n) AS most, round(max(n) / greatest(min(n), 1), 6) AS ratio FROM k""",
     "handoff_counts": f"SELECT {_SHARD.format('page_id::VARCHAR', 4)} AS sender, {_SHARD.format('url', 4)} AS owner, count(*) AS urls, {_SHARD.format('page_id::VARCHAR', 4)} <> {_SHARD.format('url', 4)} AS \"foreign\" FROM pages GROUP BY 1, 2, 4",
+    "redirect_reroute": f"""WITH {_U}, t AS (SELECT CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '^(https?://[^/?#]+).*$', '\\1/moved') END AS target, (page_id % 3)::INT AS sender FROM u),
+f AS (SELECT target, min(sender) AS sender FROM t WHERE target NOT IN (SELECT url FROM u) GROUP BY target),
+o AS (SELECT target, sender, {_SHARD.format("regexp_extract(target, '([^./]+[.][^./]+)/moved$', 1)", 3)} AS owner FROM f)
+SELECT target, sender, owner, owner <> sender AS handed_off FROM o""",
+    "exit_codes": """SELECT * FROM (VALUES ('holds', (SELECT count(*) FROM events), 0), ('broken', (SELECT count(*) FROM events), 1), ('empty', 0, 2)) v(run, requests, code)""",
     "idle_slots": f"WITH {_A} SELECT slot, min(seq) AS ring, count(*) % 7 AS active FROM a GROUP BY slot ORDER BY active, ring LIMIT 10",
 }

@@ -124,3 +124,17 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.where((F.size(p) == len(names)) & (F.col("value") != (header[0] if header else "")))
     cast = rows.select(*[F.get(p, i).try_cast("double").alias(n) for i, n in enumerate(names)])
     return cast.dropna()
+
+
+def write_tsv(rows: DataFrame, path: str) -> None:
+    """A report as tab-separated text with a header."""
+    rows.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", nullValue="")
+
+
+def write_list(rows: DataFrame, column: str, path: str, comments: list[str] | None = None) -> None:
+    """One value a line in the rows' order, below comment lines; for lists that a file holds, such as seeds."""
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(i, f"# {c}") for i, c in enumerate(comments or [])], "n long, line string")
+    body = rows.select(F.monotonically_increasing_id().alias("n"), F.col(column).cast("string").alias("line"))
+    both = head.select(F.lit(0).alias("part"), "n", "line").unionByName(body.select(F.lit(1).alias("part"), "n", "line"))
+    both.coalesce(1).sortWithinPartitions("part", "n").select("line").write.mode("overwrite").text(path)

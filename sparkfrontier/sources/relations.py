@@ -42,8 +42,8 @@ def runstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """shard, seq, elapsed, crawled, discovered: running counts of each shard's telemetry."""
     e = events(spark, sf_dir).withColumn("shard", (F.col("user_id") % 2).cast("int"))
     w = Window.partitionBy("shard").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = e.agg(F.min("t").alias("t0"))
-    return e.crossJoin(F.broadcast(start)).select("shard", F.col("event_id").alias("seq"), (F.col("t") - F.col("t0")).alias("elapsed"), F.count("*").over(w).alias("crawled"), F.sum("k").over(w).alias("discovered"))
+    start = e.agg(F.min("t")).first()[0]
+    return e.select("shard", F.col("event_id").alias("seq"), (F.col("t") - F.lit(start)).alias("elapsed"), F.count("*").over(w).alias("crawled"), F.sum("k").over(w).alias("discovered"))
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,4 +43,11 @@ def test_tsv_drops_bad_rows(spark, tmp_path):
     f = tmp_path / "r.tsv"
     f.write_text("elapsed\trss\n1\t2\n3\n4\tx\n5\t6\n")
     assert [tuple(r) for r in logs.read_tsv(spark, str(f)).orderBy("elapsed").collect()] == [(1.0, 2.0), (5.0, 6.0)]
-    assert F is not None
+
+
+def test_lists_and_tables_are_written_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "url string, n int").coalesce(1)
+    logs.write_list(rows.where("url is not null"), "url", str(tmp_path / "list"), ["2 seeds"])
+    assert [r[0] for r in spark.read.text(str(tmp_path / "list")).collect()] == ["# 2 seeds", "b", "a"]
+    logs.write_tsv(rows.orderBy(F.desc("n")), str(tmp_path / "tsv"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "tsv")).collect()][:2] == ["url\tn", "\t3"]
