@@ -122,7 +122,9 @@ def new_norm(kind: Column, norm: Column, attempt: Column, secret: str) -> Column
     national = F.concat(first, tail(digits, 1))
     phone = F.when(F.char_length(norm) <= 10, national).when(norm.rlike("^[17]"), F.concat(F.substring(norm, 1, 1), first, tail(digits, 2))).otherwise(F.concat(F.substring(norm, 1, 2), first, tail(digits, 3)))
     octet = lambda k: (F.conv(F.substring(stream, 2 * k + 1, 2), 16, 10).cast("int") % 254 + 1).cast("string")
-    ip = F.concat_ws(".", F.when(norm.rlike(r"^(?:10|127|192\.168|172)\."), F.substring_index(norm, ".", 1)).otherwise(octet(0)), F.when(norm.rlike(r"^192\.168\."), F.lit("168")).when(norm.startswith("172."), F.element_at(F.split(norm, r"\."), 2)).otherwise(octet(1)), octet(2), octet(3))
+    # ip: private ranges stay private
+    inside = norm.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
+    ip = F.concat_ws(".", F.when(inside | norm.rlike(r"^(?:10|127)\."), F.substring_index(norm, ".", 1)).otherwise(octet(0)), F.when(inside, F.element_at(F.split(norm, r"\."), 2)).otherwise(octet(1)), octet(2), octet(3))
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     domain = F.concat(F.lit("d"), F.substring(F.sha2(F.concat_ws("|", F.lit(secret), F.lit("domain"), domain), 256), 1, 8), F.lit(".example."), F.when(domain.rlike(r"\.(?:com|net|org)$"), F.substring_index(domain, ".", -1)).otherwise(F.lit("com")))
     longer = F.when(attempt >= 2, F.substring(stream, 33, 12)).otherwise(F.lit(""))  # short forms can't run out
