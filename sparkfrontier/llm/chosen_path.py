@@ -202,7 +202,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
         top = stage_out(share.groupBy("bucket").agg((F.sum("k") / 4).alias("k")), "path-dense")
         hot = hot.join(small(top), "bucket")
         dense = (F.col("k") > DENSE * F.col("n")) | F.lit(level == LEVELS)
-        found.append(compare(_blocked(hot.where(dense), _blocks(F.col("n")))))
+        found.append(compare(_blocked(hot.where(dense), F.ceil(F.col("n") / BLOCK))))
         chosen = [F.struct(F.xxhash64("bucket", F.lit(b), F.expr(f"substring(sketch, cast(2 * pmod(xxhash64(bucket, {b}), {COORDINATES}) + 1 as int), 2)")).alias("bucket")) for b in range(BRANCH)]
         entries = hot.where(~dense).select(F.explode(F.array(*chosen)).alias("c"), "node", "size", "sketch").select("c.bucket", "node", "size", "sketch")
     out = found[0]
@@ -282,8 +282,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = connected(edges, "path-groups")
     groups = stage_out(groups.join(sets.select("node", "rep", "m", "size"), "node"), "path-members")
     sizes = groups.groupBy("label").agg(F.greatest(_blocks(F.count("*")), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    members = stage_out(groups.join(sizes, "label").select("label", "blocks", "node", F.col("rep.text_hash").alias("rep_hash"), "m"), "path-blocks")
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("body")).join(small(members), F.col("text_hash") == F.col("rep_hash")).select("body", "label", "blocks", "node", "m")
+    members = stage_out(groups.join(sizes, "label").select("label", "blocks", "node", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "m"), "path-blocks")
+    first_row = (F.col("text_hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))  # of each set: its copies stay behind
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("body")).join(small(members), first_row).select("body", "label", "blocks", "node", "m")
     whole = texts.mapInArrow(_sets, "label long, blocks int, node long, m long, tokens binary")
     blocks = _blocked(whole, F.col("blocks")).select("label", "i", "j", "side", "node", "m", "tokens")
     exact = stage_out(blocks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_exact, "a long, b long, w long"), "path-links")
