@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 PARTS = 256
 
 
+def _passed(value: Column, cuts: list[float], width: int = 16) -> Column:
+    """How many of the sorted cuts lie below a value: a look at every width-th, then at those between two."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda some: F.size(F.filter(some, lambda c: value > c))
+    listed = lambda some: F.array(*map(F.lit, some)).cast("array<double>")
+    heads, groups = cuts[width - 1 :: width], [cuts[i : i + width - 1] for i in range(0, len(cuts) + 1, width)]
+    if not heads:
+        return below(listed(cuts))
+    coarse = below(listed(heads))
+    return coarse * width + below(F.element_at(F.array(*map(listed, groups)), coarse + 1))
+
+
 def numbered(df: DataFrame, order: str, ties: list[str], sums: dict[str, Column] | None = None, parts: int = PARTS) -> DataFrame:
     """df with row_index (from 1, in the order of a numeric column, then ties) and running sums by name.
 
@@ -16,7 +29,7 @@ def numbered(df: DataFrame, order: str, ties: list[str], sums: dict[str, Column]
     """
     sums = sums or {}
     cuts = sorted(set(df.where(F.col(order).isNotNull()).approxQuantile(order, [k / parts for k in range(1, parts)], 0.25 / parts) or []))
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(order) > c)) if cuts else F.lit(0)
+    at = _passed(F.col(order), cuts)
     ranged = df.withColumn("_range", at).withColumns({f"_{k}": v for k, v in sums.items()})
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(f"_{k}").alias(f"_total_{k}") for k in sums])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range: at most `parts`
