@@ -85,7 +85,8 @@ _HREF = r"""regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*("[^"]+"|''[^'']
 _G = f"""{_C}, x AS (SELECT sent AS t, 'k' || (event_id % 700) || '.' || user_id AS key, row_number() OVER (ORDER BY sent, 'k' || (event_id % 700) || '.' || user_id) AS rn FROM c),
 y AS (SELECT t, rn, sum(CASE WHEN f = rn THEN 1 ELSE 0 END) OVER (ORDER BY rn) AS seen FROM (SELECT *, min(rn) OVER (PARTITION BY key) AS f FROM x)),
 b AS (SELECT min(t) AS lo, (max(t) - min(t)) AS span, count(*) AS n FROM x),
-m AS (SELECT j, j * span / 40 AS mark, span, n, (SELECT count(*) FROM x WHERE t - lo < j * span / 40) + 1 AS f FROM b, range(1, 42) r(j)),
+acc(j, mark) AS (SELECT 1, (SELECT span / 40 FROM b) UNION ALL SELECT j + 1, mark + (SELECT span / 40 FROM b) FROM acc WHERE j < 41),
+m AS (SELECT j, mark, span, n, (SELECT count(*) FROM x WHERE t - lo < mark) + 1 AS f FROM b, acc),
 p AS (SELECT j, mark, n, j + max(f - j) OVER (ORDER BY j) AS rn FROM m),
 curve AS (SELECT (p.j - 1)::INT AS i, p.mark AS t, y.seen::BIGINT AS domains FROM p JOIN y ON p.rn = y.rn
   UNION ALL SELECT (SELECT count(*) FROM p JOIN y ON p.rn = y.rn)::INT, (SELECT span FROM b), (SELECT max(seen) FROM y)::BIGINT)"""
@@ -102,8 +103,8 @@ SELECT round(max(v) FILTER (rn = floor(n * 0.5) + 1), 4) AS p50, round(max(v) FI
   discovered - coalesce(lag(discovered) OVER w, 0) AS dd FROM e WINDOW w AS (PARTITION BY shard ORDER BY bucket))
 SELECT shard, bucket, crawled, discovered, round(elapsed, 6) AS elapsed, round(dc / span, 6) AS pages_per_s, round(dd / span, 6) AS links_per_s FROM l""",
     "timeline_combined": f"WITH {_S} SELECT count(*) AS shards, sum(c)::BIGINT AS combined FROM (SELECT shard, max(crawled) AS c FROM e GROUP BY 1)",
-    "domain_growth_curve": f"WITH {_G} SELECT i, round(t, 3) AS t, domains FROM curve",
-    "growth_fit": f"""WITH {_G}, q AS (SELECT count(*) AS n, count(*) // 3 AS th FROM curve),
+    "domain_growth_curve": f"WITH RECURSIVE {_G} SELECT i, round(t, 3) AS t, domains FROM curve",
+    "growth_fit": f"""WITH RECURSIVE {_G}, q AS (SELECT count(*) AS n, count(*) // 3 AS th FROM curve),
 f AS (SELECT max(domains) AS peak, sum(t * domains) / sum(t * t) AS lk, sum(sqrt(t) * domains) / sum(t) AS rk FROM curve),
 r AS (SELECT any_value(peak) AS peak, any_value(lk) AS lk, any_value(rk) AS rk, 1 - sum((domains - lk * t) ** 2) / sum((domains - mean) ** 2) AS linear_r2,
   1 - sum((domains - rk * sqrt(t)) ** 2) / sum((domains - mean) ** 2) AS root_r2 FROM curve, f, (SELECT avg(domains) AS mean FROM curve)),
