@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from sparkfrontier.llm.common import only, packed, small, stage_out, table, words
 
 WINDOW = 8
-#: A document is first probed at every STRIDE-th word: a run of WINDOW + STRIDE - 1 matching words can't be missed.
-STRIDE = 4
 #: This share of an item's words, in consistent alignments, is a leak.
 COVERED = 0.5
 
@@ -39,9 +37,16 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), MARKS, "")
 
 
-def _window_hashes(w: str, size: int, stride: int = 1) -> str:
-    hashed = f"xxhash64({', '.join(f'{w}[i + {k}]' for k in range(size))})"
-    return f"case when size({w}) >= {size} then transform(sequence(0, size({w}) - {size}, {stride}), i -> struct({hashed} as h, i as pos, {size} as size)) else cast(array() as array<struct<h:bigint,pos:int,size:int>>) end"
+def _hash(w: str, size: int) -> str:
+    return f"xxhash64({', '.join(f'{w}[i + {k}]' for k in range(size))})"
+
+
+def _window_hashes(w: str, size: int) -> str:
+    return f"case when size({w}) >= {size} then transform(sequence(0, size({w}) - {size}), i -> struct({_hash(w, size)} as h, i as pos, {size} as size)) else cast(array() as array<struct<h:bigint,pos:int,size:int>>) end"
+
+
+def _probe_hashes(w: str, size: int) -> str:
+    return f"case when size({w}) >= {size} then transform(sequence(0, size({w}) - {size}), i -> {_hash(w, size)}) else cast(array() as array<bigint>) end"
 
 
 def _slots(df: DataFrame, key: str) -> DataFrame:
@@ -59,8 +64,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """(text_hash, items): for each different text that leaks items, the sorted ids of those."""
     items = _with_words(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).where("item is not null and t is not null").distinct(), "t").drop("t")
     items = stage_out(items.withColumn("n", F.size("c")).where("n > 0"), "leaks-items")
-    shape = items.agg(F.min("n").alias("least"), F.collect_set(F.least("n", F.lit(WINDOW))).alias("sizes")).first()
-    sizes = sorted(shape["sizes"])  # WINDOW, and the lengths of shorter items: at most WINDOW values
+    sizes = sorted(items.agg(F.collect_set(F.least("n", F.lit(WINDOW)))).first()[0])  # WINDOW, and the lengths of shorter items: at most WINDOW values
     every = None
     for size in sizes:
         part = items if size == WINDOW else items.where(F.col("n") == size)
@@ -70,20 +74,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         return docs.select(F.xxhash64(text_col).alias("text_hash"), F.array().cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>").alias("items")).limit(0)
     plain = F.size(F.filter(F.slice("c", F.col("x.pos") + 1, F.col("x.size")), lambda x: ~x.rlike(r"^[\x{E000}-\x{E002}]+$")))
     probes = stage_out(every.where(plain * 2 >= F.col("x.size")).select("item", "n", "x.size", F.col("x.h").alias("ih"), F.col("x.pos").alias("ipos")), "leaks-windows")
-    stride = max(1, min(STRIDE, (shape["least"] or 0) - WINDOW + 1))
 
-    def met(texts: DataFrame, step: int) -> DataFrame:
-        """(text_hash, h, pos, size) of the windows of texts (text_hash, c) that some item has, too."""
-        hashes = F.concat(*[F.expr(_window_hashes("c", size, step if size == WINDOW else 1)) for size in sizes])
+    def met(texts: DataFrame) -> DataFrame:
+        """(text_hash, h, pos, size) of the windows of texts (text_hash, c)."""
+        hashes = F.concat(*[F.expr(_window_hashes("c", size)) for size in sizes])
         return texts.select("text_hash", F.explode(hashes).alias("x")).select("text_hash", "x.*")
 
     body = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
-    wanted = small(probes.select(F.col("ih").alias("h"), "size").distinct())
-    suspects = met(body.withColumn("c", words(canonical(F.col("t")))).drop("t"), stride).join(wanted, ["h", "size"], "left_semi").select("text_hash").distinct()
+    # every position is probed, as a leak may be made of windows apart from each other
+    wanted = small(probes.select("ih").distinct())
+    every_hash = F.concat(*[F.expr(_probe_hashes("c", size)) for size in sizes])
+    suspects = body.select("text_hash", words(canonical(F.col("t"))).alias("c")).select("text_hash", F.explode(every_hash).alias("h"))
+    suspects = suspects.join(wanted, F.col("h") == F.col("ih"), "left_semi").select("text_hash").distinct()
     suspects = stage_out(suspects, "leaks-suspects")
     texts = body.join(small(suspects), "text_hash", "left_semi").dropDuplicates(["text_hash"])
     texts = stage_out(_with_words(texts, "t").drop("t"), "leaks-texts")
-    found = met(texts.select("text_hash", "c"), 1).withColumnRenamed("size", "s").join(small(probes), (F.col("h") == F.col("ih")) & (F.col("s") == F.col("size")))
+    found = met(texts.select("text_hash", "c")).withColumnRenamed("size", "s").join(small(probes), (F.col("h") == F.col("ih")) & (F.col("s") == F.col("size")))
     pairs = found.select("text_hash", "item", "n", (F.col("pos") - F.col("ipos")).alias("shift"), F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("size") - 1)).alias("at")).distinct()
     pairs = stage_out(pairs, "leaks-pairs")
     ours = _slots(items, "item").select("item", "at", F.col("kind").alias("ikind"), F.col("value").alias("ivalue"))
