@@ -43,9 +43,6 @@ ENTITY = (
     rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}_/+-])(?:{'|'.join(PATTERNS[k] for k in _AT_WORD)})"
     rf"|(?<![0-9])(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in _AT_NUMBER)})"
 )
-#: A text without any of these has no entity; saves the full pattern.
-HINT = rf"(?=[@0-9\p{{Lu}}г])(?:@|[0-9]{{2}}|\p{{Lu}}[\p{{Ll}}]+ \p{{Lu}}[\p{{Ll}}]|(?:{'|'.join(TITLES)})\.? \p{{Lu}}|[0-9A-Fa-f]{{1,2}}:[0-9A-Fa-f])"
-
 _ENTITIES = "array<struct<raw:string,kind:string,norm:string>>"
 
 
@@ -72,7 +69,7 @@ def entities(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
     found = F.transform(found, lambda m: F.struct(m.alias("raw"), _kind(m).alias("kind")))
     found = F.transform(found, lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"), _norm(e["raw"], e["kind"]).alias("norm")))
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast(_ENTITIES))
+    return F.coalesce(found, F.array().cast(_ENTITIES))
 
 
 def _is_title(t: Column) -> Column:

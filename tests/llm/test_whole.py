@@ -1,6 +1,9 @@
 """What shortcuts would lose: every place of a text, every entity, every line, every block."""
 
-from sparkfrontier.llm import decontamination
+import pytest
+from pyspark.sql import functions as F
+
+from sparkfrontier.llm import decontamination, pii
 
 
 def test_half_copies_at_every_place(spark):
@@ -11,3 +14,16 @@ def test_half_copies_at_every_place(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["leaked_items"] for r in decontamination.flag_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {k: [1] for k in range(9)} | {9: []}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("ask 8.8.8.8 or none", "ip"), ("1.1.1.1", "ip"), ("api_key=a1b2c3d4e5f6a7b8c9", "secret"), ("password: correcthorsebatterystaple", "secret"), ("at ab-cd-ef-aa-bb-cc now", "hex"),
+        ("AB:CD:EF:AA:BB:CC", "hex"), ("James O'Brien", "name"), ("met Mary D’Arcy", "name"), ("г-н Петров", "name"), ("a@b.c", "email"), ("+1 2 34", "phone"),
+    ],
+)
+def test_lone_entities_are_found(spark, text, kind):
+    docs = spark.createDataFrame([(1, text), (2, f"{text} in 2024"), (3, None), (4, "nothing here")], "i int, text string")
+    got = {r["i"]: [(e["raw"], e["kind"]) for e in r["e"]] for r in docs.select("i", pii.entities(F.col("text")).alias("e")).collect()}
+    assert [k for _, k in got[1]] == [kind] and got[1] == got[2] and got[3] == got[4] == []
