@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, packed, small, stage_out, table, words
+from sparkfrontier.llm.common import only, packed, small, stage_out, table, word_count, words
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -54,45 +54,54 @@ def base_statistics(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({k: v.cast("long") for k, v in out.items()}).drop("_t", "_w", "_l", "_n", "_h", "_b", "_k", "_p", "_q", "_d")
 
 
-def boilerplate_words(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(host, text_hash, removed): words in boilerplate lines, for each different text of a host that has any."""
-    line = F.transform(F.transform(_lines(F.col(text_col)), normal_line), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("w")))
+def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(host, text_hash, gone): hashes of the boilerplate lines, for each different text of a host that has any."""
+    line = F.array_distinct(F.transform(F.transform(_lines(F.col(text_col)), normal_line), lambda x: F.xxhash64(x)))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), line.alias("lines")).where(F.size("lines") > 0)
     # equal texts count once, and are dropped before anything is exploded
     texts = texts.dropDuplicates(["host", "text_hash"])
     texts = stage_out(texts, "rules-lines")
     hosts = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    held = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    held = texts.select("host", F.explode("lines").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
     held = held.where(F.col("n") > LIMIT_DOCS).join(hosts.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")))
     frequent = stage_out(held.where(F.col("n") > F.greatest(F.lit(float(LIMIT_DOCS)), F.lit(LIMIT_SHARE) * F.col("texts"))).select(F.col("host").alias("host_"), F.col("h").alias("h_")), "rules-frequent")
-    each = texts.select("host", "text_hash", F.explode("lines").alias("x"))
-    hit = each.join(small(frequent), (F.col("x.h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")))
-    return hit.groupBy("host", "text_hash").agg(F.sum("x.w").alias("removed"))
+    each = texts.select("host", "text_hash", F.explode("lines").alias("h"))
+    hit = each.join(small(frequent), (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")))
+    return hit.groupBy("host", "text_hash").agg(F.collect_set("h").alias("gone"))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normal form has a hash in `gone`; blank lines stay."""
+    held = F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(gone, F.xxhash64(normal_line(x)))))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(held, "\n"))
 
 
 def quality_rules(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs (or its columns in `keep`) with the base statistics, removed_words, base_failed and kept.
+    """docs (or its columns in `keep`) with the base statistics, clean_text, removed_words, base_failed and kept.
+
+    clean_text is the text without its boilerplate lines, removed_words the words that it lacks.
 
     A null or empty text has no words and fails the base rules. A null host is a host of its own. Equal texts of a host
     count as one document of it, so copies don't make each other's lines boilerplate, and share their verdict. Input
     columns named like an added one are replaced. An empty table gives an empty result.
     """
-    added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"}
+    added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "removed_words", "base_failed", "kept"}
     kept = [c for c in only(docs, keep) if c.lower() not in added]
     base = base_statistics(docs.select(packed(kept).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("body")), "body")
-    base = base.withColumn("text_hash", F.xxhash64("body")).drop("body")
-    removed = boilerplate_words(docs, text_col, host_col).select(F.col("host").alias("host_"), F.col("text_hash").alias("hash_"), "removed")
-    out = base.join(removed, (F.col("text_hash") == F.col("hash_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
+    base = base.withColumn("text_hash", F.xxhash64("body"))
+    found = boilerplate_lines(docs, text_col, host_col).select(F.col("host").alias("host_"), F.col("text_hash").alias("hash_"), "gone")
+    out = base.join(found, (F.col("text_hash") == F.col("hash_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
+    out = out.withColumn("clean_text", without_lines(F.col("body"), F.col("gone")))
+    out = out.withColumn("removed_words", F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_words") - word_count(F.col("clean_text"))).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    gone = F.coalesce(F.col("removed"), F.lit(0)).cast("long")
     return out.select(
         *[f"row.`{c}`" for c in kept], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        gone.alias("removed_words"), failed.alias("base_failed"), (~failed & (gone <= F.lit(DEPLETED) * F.col("n_words"))).alias("kept"),
+        "clean_text", "removed_words", failed.alias("base_failed"), (~failed & (F.col("removed_words") <= F.lit(DEPLETED) * F.col("n_words"))).alias("kept"),
     )
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm import decontamination, pii
+from sparkfrontier.llm import decontamination, pii, rules
 
 
 def test_half_copies_at_every_place(spark):
@@ -27,3 +27,11 @@ def test_lone_entities_are_found(spark, text, kind):
     docs = spark.createDataFrame([(1, text), (2, f"{text} in 2024"), (3, None), (4, "nothing here")], "i int, text string")
     got = {r["i"]: [(e["raw"], e["kind"]) for e in r["e"]] for r in docs.select("i", pii.entities(F.col("text")).alias("e")).collect()}
     assert [k for _, k in got[1]] == [kind] and got[1] == got[2] and got[3] == got[4] == []
+
+
+def test_boilerplate_lines_leave_the_text(spark):
+    own = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    rows = [(i, f"Home  page {i % 9}\n{own(i)}\n\nAll rights reserved\nend", "h") for i in range(15)] + [(20, f"Home page 1\n{own(20)}\n", "other"), (21, None, "h")]
+    got = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["clean_text"] == f"{own(i)}\n" and got[i]["removed_words"] == 7 and got[i]["kept"] for i in range(15))
+    assert got[20]["clean_text"] == rows[15][1] and got[20]["removed_words"] == 0 and got[21]["clean_text"] is None
