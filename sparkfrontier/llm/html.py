@@ -48,21 +48,23 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Events to lines: (text, characters outside links, tags, path of open containers)."""
+    """Events to lines: (text, characters outside links, tags, path of open containers, numbers of open elements with a layout name)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int]] = []  # name, container number, whether text within is left out (2: even an article)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        #: Name, container number, whether text within is left out (2: even an article), numbers of the layout names around.
+        self.stack: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
         self.kinds: dict[int, str] = {}
         self.text: list[str] = []
         self.free = self.tags = self.links = 0
         self.path: tuple[int, ...] = ()
+        self.layout: tuple[int, ...] = ()
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.free, self.tags, self.path))
+            self.lines.append((text, self.free, self.tags, self.path, self.layout))
         self.text, self.free, self.tags = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -85,13 +87,17 @@ class _Lines(HTMLParser):
         marks = f"{named.get('class') or ''} {named.get('id') or ''}"
         mark = _MARK.search(marks) if tag not in ("html", "body", "main", "article") or "comment" in marks.lower() else None
         out = 2 if tag in SKIPPED or tag in BOILERPLATE or (named.get("role") or "").lower() in ROLES or "hidden" in named or (mark and not _LAYOUT.search(mark.group())) else 1 if mark else 0
-        above = self.stack[-1][2] if self.stack else 0
+        above, layout = self.stack[-1][2:] if self.stack else (0, ())
         if above > 1 or tag not in ("main", "article"):  # an article ends what a layout name left out
             out = max(out, above)
+        else:
+            layout = ()
         number = len(self.kinds)
+        if tag not in INLINE and mark and _LAYOUT.search(mark.group()) and out < 2:  # decided when all lines are known
+            layout, out = (*layout, number), above if tag not in ("main", "article") else 0
         self.kinds[number] = tag
-        self.stack.append((tag, number if tag in CONTAINERS else -1, out))
-        self.path = tuple(n for _, n, _ in self.stack if n >= 0)
+        self.stack.append((tag, number if tag in CONTAINERS else -1, out, layout))
+        self.path = tuple(n for _, n, *_ in self.stack if n >= 0)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -108,7 +114,7 @@ class _Lines(HTMLParser):
                 break
             if name not in INLINE and name != "p":
                 break
-        self.path = tuple(n for _, n, _ in self.stack if n >= 0)
+        self.path = tuple(n for _, n, *_ in self.stack if n >= 0)
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -116,18 +122,19 @@ class _Lines(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-        if any(name == tag for name, _, _ in self.stack):
+        if any(name == tag for name, *_ in self.stack):
             while self.stack:
                 name = self.stack.pop()[0]
                 self.links -= name == "a"
                 if name == tag:
                     break
             self.links = max(0, self.links)
-            self.path = tuple(n for _, n, _ in self.stack if n >= 0)
+            self.path = tuple(n for _, n, *_ in self.stack if n >= 0)
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][2]:
             return
+        self.layout = self.stack[-1][3] if self.stack else ()
         self.text.append(data)
         if not self.links:
             self.free += len(data.strip())
@@ -140,22 +147,43 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[r : r + len(values)] / np.convolve(np.ones(len(values)), kernel)[r : r + len(values)]
 
 
+def _clusters(lines) -> tuple[np.ndarray, list[float]]:
+    """Which lines lie in content clusters, and every line's vote."""
+    ratio = np.array([x[1] / max(1, x[2]) for x in lines], "f8")
+    even = smooth(ratio)
+    above = even >= CUT * even.std()
+    return above, [x[1] + 0.01 * len(x[0]) if high else 0.01 * len(x[0]) for x, high in zip(lines, above, strict=True)]
+
+
+def admitted(lines: list[tuple], kinds: dict[int, str]) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """The lines outside elements with layout names; on a page without article and main, such an element that wins the vote counts as unnamed."""
+    free: set[int] = set()
+    if any(x[4] for x in lines) and not any(kinds[n] in ("article", "main") for x in lines if not x[4] for n in x[3]):
+        weights = _clusters(lines)[1]
+        while True:
+            vote: dict[int, float] = {}
+            for x, weight in zip(lines, weights, strict=True):
+                for n in [n for n in x[4] if n not in free][:1]:
+                    vote[n] = vote.get(n, 0.0) + weight
+            best = max(vote, key=vote.__getitem__, default=None)
+            if best is None or vote[best] < MAJORITY * sum(weights):
+                break
+            free.add(best)
+    return [x[:4] for x in lines if free.issuperset(x[4])]
+
+
 def content(lines: list[tuple[str, int, int, tuple[int, ...]]], kinds: dict[int, str]) -> list[str]:
     """The lines of the container that the clusters choose.
 
     An article or main element with text is preferred to other containers; of several, the one with the most cluster
-    text, or their common container if none has the majority.
+    text, or their common container if none has the majority. On a page without any, blocks outside the container that
+    lie in clusters with text of their own stay as well.
     """
     if not lines:
         return []
-    ratio = np.array([free / max(1, tags) for _, free, tags, _ in lines], "f8")
-    even = smooth(ratio)
-    above = even >= CUT * even.std()
+    above, weights = _clusters(lines)
     vote: dict[tuple[int, ...], float] = {}
-    total = 0.0
-    for (text, free, _, path), high in zip(lines, above, strict=True):
-        weight = free + 0.01 * len(text) if high else 0.01 * len(text)
-        total += weight
+    for (*_, path), weight in zip(lines, weights, strict=True):
         for k in range(len(path) + 1):
             vote[path[:k]] = vote.get(path[:k], 0.0) + weight
     marked = [p for p in vote if p and kinds[p[-1]] in ("article", "main")]
@@ -176,7 +204,7 @@ def content(lines: list[tuple[str, int, int, tuple[int, ...]]], kinds: dict[int,
             if best is None or vote[best] < MAJORITY * vote[chosen] or sum(1 for *_, p in lines if p[: len(best)] == best) < 2:
                 break
             chosen = best
-    return [text for text, _, _, path in lines if path[: len(chosen)] == chosen]
+    return [text for (text, free, _, path), high in zip(lines, above, strict=True) if path[: len(chosen)] == chosen or not marked and high and free]
 
 
 def extract(html: str | None) -> str:
@@ -187,7 +215,7 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return "\n".join(content(parser.lines, parser.kinds))
+    return "\n".join(content(admitted(parser.lines, parser.kinds), parser.kinds))
 
 
 def extract_pages(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html") -> DataFrame:

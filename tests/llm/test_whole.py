@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm import decontamination, pii, rules
+from sparkfrontier.llm import decontamination, html, pii, rules
 
 
 def test_half_copies_at_every_place(spark):
@@ -35,3 +35,20 @@ def test_boilerplate_lines_leave_the_text(spark):
     got = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i]["clean_text"] == f"{own(i)}\n" and got[i]["removed_words"] == 7 and got[i]["kept"] for i in range(15))
     assert got[20]["clean_text"] == rows[15][1] and got[20]["removed_words"] == 0 and got[21]["clean_text"] is None
+
+
+PARAGRAPHS = [f"Paragraph {k} tells at some length what happened on day {k} of the long journey north, and why nobody spoke of it." for k in range(10)]
+BODY = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+
+
+def test_blocks_around_the_inner_container_stay():
+    page = f"<html><body><nav><a href=/>Home</a></nav><div id=content><h1>The long journey</h1><p>An introduction that says what is to come in all of the parts.</p><div class=text>{BODY}</div><p>An end that sums up what the ten parts have said before it.</p></div></body></html>"
+    assert html.extract(page).split("\n") == ["The long journey", "An introduction that says what is to come in all of the parts.", *PARAGRAPHS, "An end that sums up what the ten parts have said before it."]
+
+
+def test_layout_words_alone_leave_no_page_empty():
+    aside = "<div class=sidebar><p>Other things to read.</p></div>"
+    for page in (f"<body><div class='content has-sidebar'>{BODY}{aside}</div></body>", f"<body><div class='content has-sidebar'><div class=page-has-menu>{BODY}</div></div>{aside}</body>"):
+        assert html.extract(page).split("\n") == PARAGRAPHS
+    assert html.extract(f"<body><div>{BODY}</div>{aside}</body>").split("\n") == PARAGRAPHS
+    assert html.extract(f"<body><div class='has-sidebar'><p>Left out.</p><article>{BODY}</article></div></body>").split("\n") == PARAGRAPHS
