@@ -2,14 +2,16 @@
 
 The standard library's parser streams events; they are laid out as lines, one for each block of the page, with the text
 that stands in links apart. A line's ratio is text outside links by tags; the ratios are smoothed by a Gaussian and cut at a
-threshold, and the clusters above it vote, by their text, for the container that holds the article. All blocks of that
-container are the page's text, in page order, without the boilerplate elements within it.
+threshold. The lines above it are content clusters, and they alone vote: from the page down, the container that holds
+most of their text is entered, until none does. Element names are a weak prior: an article or main element's lines count double.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ SIGMA = 1.5
 CUT = 0.5
 #: A container takes the vote of its children if no child holds this share of it.
 MAJORITY = 0.6
+#: How much more a cluster line counts for an article or main element.
+PRIOR = 2.0
 
 # Element names by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,8 +35,9 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".spli
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-CLOSED_BY_BLOCK = frozenset("p".split())
 CONTAINERS = frozenset("html body main article section div td table tbody tr center".split())
+SEMANTIC = frozenset("main article".split())
+OPTIONAL_END = frozenset("li dt dd tr td th option p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 # Words of class and id names that mark what is not the article.
@@ -45,28 +50,59 @@ _MARK = re.compile(
 #: Of those, the words that a layout container around the article may also have in its name.
 _LAYOUT = re.compile(r"sidebar|side-bar|header|footer|nav|menu|widget|search", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+#: A decimal reference of more digits than any code point has; the standard library refuses to read the longest ones.
+_LONG_REFERENCE = re.compile(r"&#[0-9]{100,};?")
+_ROOT = 0
+
+
+class Line(NamedTuple):
+    text: str
+    #: Characters outside links, tags, the innermost open container, the innermost layout-named element (-1: none).
+    free: int
+    tags: int
+    node: int
+    layout: int
+
+
+class _Open(NamedTuple):
+    name: str
+    node: int
+    #: 0: text counts, 1: left out up to a nested article, 2: left out.
+    out: int
+    layout: int
 
 
 class _Lines(HTMLParser):
-    """Events to lines: (text, characters outside links, tags, path of open containers, numbers of open elements with a layout name)."""
+    """Parser events to lines. Containers and layout-named elements are trees of numbers, a parent's number is the smaller."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        #: Name, container number, whether text within is left out (2: even an article), numbers of the layout names around.
-        self.stack: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.kinds: dict[int, str] = {}
+        self.stack: list[_Open] = []
+        self.opened: Counter[str] = Counter()
+        self.lines: list[Line] = []
+        self.parent, self.kind = [-1], [""]
+        self.outer: list[int] = []
         self.text: list[str] = []
-        self.free = self.tags = self.links = 0
-        self.path: tuple[int, ...] = ()
-        self.layout: tuple[int, ...] = ()
+        self.free = self.tags = 0
+        self.at = _Open("", _ROOT, 0, -1)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.free, self.tags, self.path, self.layout))
+            self.lines.append(Line(text, self.free, self.tags, self.at.node, self.at.layout))
         self.text, self.free, self.tags = [], 0, 0
 
+    def push(self, element: _Open) -> None:
+        self.stack.append(element)
+        self.opened[element.name] += 1
+        self.at = element
+
+    def pop(self) -> str:
+        name = self.stack.pop().name
+        self.opened[name] -= 1
+        self.at = self.stack[-1] if self.stack else _Open("", _ROOT, 0, -1)
+        return name
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
@@ -77,44 +113,45 @@ class _Lines(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option") or tag == "p":
+            if tag in OPTIONAL_END and self.opened[tag]:
                 self.close_open(tag)
-            if self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
-        if tag == "a":
-            self.links += 1
+            if self.at.name == "p":
+                self.pop()
         named = dict(attrs)
         marks = f"{named.get('class') or ''} {named.get('id') or ''}"
         mark = _MARK.search(marks) if tag not in ("html", "body", "main", "article") or "comment" in marks.lower() else None
-        out = 2 if tag in SKIPPED or tag in BOILERPLATE or (named.get("role") or "").lower() in ROLES or "hidden" in named or (mark and not _LAYOUT.search(mark.group())) else 1 if mark else 0
-        above, layout = self.stack[-1][2:] if self.stack else (0, ())
-        if above > 1 or tag not in ("main", "article"):  # an article ends what a layout name left out
-            out = max(out, above)
-        else:
-            layout = ()
-        number = len(self.kinds)
-        if tag not in INLINE and mark and _LAYOUT.search(mark.group()) and out < 2:  # decided when all lines are known
-            layout, out = (*layout, number), above if tag not in ("main", "article") else 0
-        self.kinds[number] = tag
-        self.stack.append((tag, number if tag in CONTAINERS else -1, out, layout))
-        self.path = tuple(n for _, n, *_ in self.stack if n >= 0)
+        layout_name = bool(mark and _LAYOUT.search(mark.group()))
+        boilerplate = tag in SKIPPED or tag in BOILERPLATE or (named.get("role") or "").lower() in ROLES or "hidden" in named or (mark and not layout_name)
+        out, layout = self.at.out, self.at.layout
+        if tag in SEMANTIC and out < 2:  # an article ends what a layout name left out
+            out, layout = 0, -1
+        if boilerplate:
+            out = 2
+        elif layout_name and tag in INLINE:
+            out = max(out, 1)
+        elif layout_name:  # decided when all lines are known
+            self.outer.append(layout)
+            layout = len(self.outer) - 1
+        node = self.at.node
+        if tag in CONTAINERS:
+            self.parent.append(node)
+            self.kind.append(tag)
+            node = len(self.parent) - 1
+        self.push(_Open(tag, node, out, layout))
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML ignores the slash on other elements
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def close_open(self, tag: str) -> None:
         """An element whose end tag is optional ends where the next of its kind begins, up to the nearest container."""
         for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
+            name = self.stack[i].name
             if name == tag:
-                del self.stack[i:]
-                break
+                while len(self.stack) > i:
+                    self.pop()
+                return
             if name not in INLINE and name != "p":
-                break
-        self.path = tuple(n for _, n, *_ in self.stack if n >= 0)
+                return
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -122,22 +159,20 @@ class _Lines(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-        if any(name == tag for name, *_ in self.stack):
-            while self.stack:
-                name = self.stack.pop()[0]
-                self.links -= name == "a"
-                if name == tag:
-                    break
-            self.links = max(0, self.links)
-            self.path = tuple(n for _, n, *_ in self.stack if n >= 0)
+        if self.opened[tag]:
+            while self.pop() != tag:
+                pass
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][2]:
-            return
-        self.layout = self.stack[-1][3] if self.stack else ()
-        self.text.append(data)
-        if not self.links:
-            self.free += len(data.strip())
+        if not self.at.out:
+            self.text.append(data)
+            if not self.opened["a"]:
+                self.free += len(data.strip())
+
+    def parse_marked_section(self, i, report=1):
+        """`<![...`: a bogus comment up to the next `>`; the inherited method raises on most of them."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -147,81 +182,99 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[r : r + len(values)] / np.convolve(np.ones(len(values)), kernel)[r : r + len(values)]
 
 
-def _clusters(lines) -> tuple[np.ndarray, list[float]]:
-    """Which lines lie in content clusters, and every line's vote."""
-    ratio = np.array([x[1] / max(1, x[2]) for x in lines], "f8")
-    even = smooth(ratio)
-    above = even >= CUT * even.std()
-    return above, [x[1] + 0.01 * len(x[0]) if high else 0.01 * len(x[0]) for x, high in zip(lines, above, strict=True)]
-
-
-def admitted(lines: list[tuple], kinds: dict[int, str]) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """The lines outside elements with layout names; on a page without article and main, such an element that wins the vote counts as unnamed."""
-    free: set[int] = set()
-    if any(x[4] for x in lines) and not any(kinds[n] in ("article", "main") for x in lines if not x[4] for n in x[3]):
-        weights = _clusters(lines)[1]
-        while True:
-            vote: dict[int, float] = {}
-            for x, weight in zip(lines, weights, strict=True):
-                for n in [n for n in x[4] if n not in free][:1]:
-                    vote[n] = vote.get(n, 0.0) + weight
-            best = max(vote, key=vote.__getitem__, default=None)
-            if best is None or vote[best] < MAJORITY * sum(weights):
-                break
-            free.add(best)
-    return [x[:4] for x in lines if free.issuperset(x[4])]
-
-
-def content(lines: list[tuple[str, int, int, tuple[int, ...]]], kinds: dict[int, str]) -> list[str]:
-    """The lines of the container that the clusters choose.
-
-    An article or main element with text is preferred to other containers; of several, the one with the most cluster
-    text, or their common container if none has the majority. On a page without any, blocks outside the container that
-    lie in clusters with text of their own stay as well.
+def ratios(lines: list[Line]) -> np.ndarray:
+    return np.array([x.free / max(1, x.tags) for x in lines], "f8")
+
+
+def clusters(lines: list[Line]) -> np.ndarray:
+    """Which lines lie in content clusters."""
+    even = smooth(ratios(lines))
+    return even >= CUT * even.std()
+
+
+def _totals(weights: list[float], at: list[int], parent: list[int]) -> list[float]:
+    """The weight of every subtree; parents have smaller numbers than their children."""
+    total = [0.0] * len(parent)
+    for weight, n in zip(weights, at, strict=True):
+        if n >= 0:
+            total[n] += weight
+    for n in range(len(parent) - 1, -1, -1):
+        if parent[n] >= 0:
+            total[parent[n]] += total[n]
+    return total
+
+
+def _heaviest(total: list[float], parent: list[int]) -> dict[int, int]:
+    """The child with the largest total of every node that has children; -1 is the parent of what has none."""
+    best: dict[int, int] = {}
+    for n in range(len(parent)):
+        if (p := parent[n]) not in best or total[n] > total[best[p]]:
+            best[p] = n
+    return best
+
+
+def admitted(lines: list[Line], outer: list[int]) -> list[Line]:
+    """The lines outside elements with layout names. Such an element that holds most of the page's cluster text counts as unnamed, and so does one inside it."""
+    if not outer or not lines:
+        return lines
+    weights = [len(x.text) if high else 0.0 for x, high in zip(lines, clusters(lines), strict=True)]
+    total, enough, free, n = _totals(weights, [x.layout for x in lines], outer), MAJORITY * sum(weights), {-1}, -1
+    best = _heaviest(total, outer)
+    while (n := best.get(n, -1)) >= 0 and total[n] >= enough:
+        free.add(n)
+    return [x for x in lines if x.layout in free]
+
+
+def content(lines: list[Line], parent: list[int], kind: list[str]) -> list[str]:
+    """The blocks that the clusters choose, in page order.
+
+    An article or main element that wins the vote is the article as a whole. Of another container its cluster lines
+    stay, and lines outside clusters that aren't mostly links (short paragraphs, headings); so do cluster lines outside it.
     """
     if not lines:
         return []
-    above, weights = _clusters(lines)
-    vote: dict[tuple[int, ...], float] = {}
-    for (*_, path), weight in zip(lines, weights, strict=True):
-        for k in range(len(path) + 1):
-            vote[path[:k]] = vote.get(path[:k], 0.0) + weight
-    marked = [p for p in vote if p and kinds[p[-1]] in ("article", "main")]
-    if marked:
-        tops = [p for p in marked if not any(q != p and p[: len(q)] == q for q in marked)]
-        best = max(tops, key=lambda p: vote[p])
-        if vote[best] >= MAJORITY * sum(vote[p] for p in tops):
-            chosen = best
-        else:
-            chosen = tops[0]
-            while not all(p[: len(chosen)] == chosen for p in tops):
-                chosen = chosen[:-1]
-    else:
-        chosen = ()
-        while True:
-            below = [p for p in vote if len(p) == len(chosen) + 1 and p[: len(chosen)] == chosen]
-            best = max(below, key=lambda p: vote[p], default=None)
-            if best is None or vote[best] < MAJORITY * vote[chosen] or sum(1 for *_, p in lines if p[: len(best)] == best) < 2:
-                break
-            chosen = best
-    return [text for (text, free, _, path), high in zip(lines, above, strict=True) if path[: len(chosen)] == chosen or not marked and high and free]
+    above = clusters(lines)
+    semantic = [False] * len(parent)
+    for n in range(1, len(parent)):
+        semantic[n] = kind[n] in SEMANTIC or semantic[parent[n]]
+    weights = [len(x.text) * (PRIOR if semantic[x.node] else 1.0) if high else 0.0 for x, high in zip(lines, above, strict=True)]
+    total = _totals(weights, [x.node for x in lines], parent)
+    own = _totals([1] * len(lines), [x.node for x in lines], parent)
+    best, chosen = _heaviest(total, parent), _ROOT
+    while kind[chosen] not in SEMANTIC:
+        n = best.get(chosen, -1)
+        if n < 0 or total[n] < MAJORITY * total[chosen] or (own[n] < 2 and kind[n] not in SEMANTIC):
+            break
+        chosen = n
+    inside = [False] * len(parent)
+    inside[chosen] = True
+    for n in range(chosen + 1, len(parent)):
+        inside[n] = inside[parent[n]]
+    if kind[chosen] in SEMANTIC:
+        return [x.text for x in lines if inside[x.node]]
+    return [x.text for x, high in zip(lines, above, strict=True) if high and x.free or inside[x.node] and 2 * x.free >= len(x.text)]
 
 
 def extract(html: str | None) -> str:
-    """The main text of a page, blocks joined by one line feed; null, empty and textless pages give an empty text."""
+    """The main text of a page, blocks joined by one line feed; null, empty and textless pages give an empty text.
+
+    Any page is read, however malformed, in time linear in its length.
+    """
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    parser.feed(_LONG_REFERENCE.sub("�", html))
     parser.close()
     parser.flush()
-    return "\n".join(content(admitted(parser.lines, parser.kinds), parser.kinds))
+    return "\n".join(content(admitted(parser.lines, parser.outer), parser.parent, parser.kind))
 
 
 def extract_pages(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html") -> DataFrame:
-    """pages (or its columns in `keep`) with main_text; one row per input row, whole pages, no cap.
+    """pages (or its columns in `keep`) with main_text; one row per input row, whole pages of any length, no cap.
 
-    An input column named main_text is replaced. An empty table gives an empty result.
+    A page's text depends on its html alone, so repeated rows get equal texts and the order of rows doesn't matter; of
+    containers with equal votes the first on the page is chosen. A null html gives an empty text. An input column named
+    main_text is replaced, others are kept whatever their name. An empty table gives an empty result.
     """
 
     @F.pandas_udf("string")
