@@ -2,21 +2,26 @@
 
 Every source gets a target number of words; a document's expected copies are target / source size. The whole part is
 taken outright, the fraction is rounded by the pivotal method: two fractional documents exchange words of expected mass
-in a random direction until one of them is integral. Documents are paired inside hash blocks of a source; each block
-leaves one fractional document, and those residuals are paired again, level by level, until one is left per source.
-The exchange conserves expected words; the last document of a source is rounded to the nearer side, so a source's taken
-words differ from its target by half a document at most. Large documents are paired first, so that the last one tends to be small.
+in a random direction until one of them is integral. Documents meet others of their size band (powers of four) inside hash
+blocks of a source; each block leaves one fractional document, and those residuals meet again, level by level, until a
+few are left in each band. These last ones settle from the largest to the smallest: each is paired with the run of smaller
+ones behind it, becomes integral, and passes its signed residual on to them. What is left of a source is less than
+its smallest documents can't take up, and the exchange conserves expected words.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfrontier.llm.common import only, packed, small, stage_out, table, uniform, word_count
 
-#: Documents folded in one task step; the tree has log_BLOCK(documents of the largest source) levels.
+#: Documents folded in one task step; the tree has log_BLOCK(documents of the largest band) levels.
 BLOCK = 64
+#: Fractional documents of a band that are left to the last step, at most.
+LAST = 64
 MAX_REPEAT = 3.0
 
 _TRANSFER = """
@@ -45,10 +50,10 @@ def targets(sizes: DataFrame, max_repeat: float = MAX_REPEAT) -> DataFrame:
 
 
 def _fold(open_items: DataFrame, id_type: str, level: int, seed: int) -> DataFrame:
-    """One level of the tree: (src, block, id, key, whole, size, mass) -> a row per item, `open` on the one that is still fractional."""
+    """One level of the tree: (src, band, block, id, key, whole, size, mass) -> a row per item, `open` on the one that is still fractional."""
     u = uniform(F.col("key"), F.col("id").cast("string"), F.lit(seed + level))
     item = F.struct((-F.col("size")).alias("large_first"), F.xxhash64("key", F.lit(seed)).alias("h"), F.struct("id", "key", "whole", "size", "mass", u.alias("u")).alias("it"))
-    blocks = open_items.withColumn("item", item).groupBy("src", "block").agg(F.expr("transform(array_sort(collect_list(item)), x -> x.it)").alias("items"))
+    blocks = open_items.withColumn("item", item).groupBy("src", "band", "block").agg(F.expr("transform(array_sort(collect_list(item)), x -> x.it)").alias("items"))
     close = "named_struct('id', {0}.id, 'key', {0}.key, 'whole', {0}.whole + {1})"
     keep = "named_struct('id', {0}.id, 'key', {0}.key, 'whole', {0}.whole, 'size', {0}.size, 'mass', {1}, 'u', {0}.u)"
     state = "named_struct('open', {0}, 'closed', concat(acc.closed, array({1})))"
@@ -62,18 +67,37 @@ def _fold(open_items: DataFrame, id_type: str, level: int, seed: int) -> DataFra
         case when {a}.mass <= b.size - b.mass then {state.format(keep.format('b', f'b.mass + {a}.mass'), close.format(a, '0L'))}
              else {state.format(keep.format(a, f'{a}.mass - (b.size - b.mass)'), close.format('b', '1L'))} end
       end"""
-    folded = blocks.select("src", "block", F.expr(_TRANSFER.format(id=id_type, step=step)).alias("acc"))
+    folded = blocks.select("src", "band", "block", F.expr(_TRANSFER.format(id=id_type, step=step)).alias("acc"))
     every = f"""concat(transform(acc.closed, x -> named_struct('id', x.id, 'key', x.key, 'whole', x.whole, 'size', 0D, 'mass', 0D, 'open', false)),
                        array(named_struct('id', acc.open.id, 'key', acc.open.key, 'whole', acc.open.whole, 'size', acc.open.size, 'mass', acc.open.mass, 'open', true)))"""
-    return folded.select("src", "block", F.explode(F.expr(every)).alias("x")).select("src", "block", "x.*").where("open or not (key = 0 and id is null)")
+    return folded.select("src", "band", "block", F.explode(F.expr(every)).alias("x")).select("src", "band", "block", "x.*").where("open or not (key = 0 and id is null)")
+
+
+def _settle(open_items: DataFrame, seed: int) -> DataFrame:
+    """(src, id, key, whole, size, mass): the last fractional documents of each source -> (id, key, copies).
+
+    From the largest on, a document is paired with the run of all that follow. Taken or not by chance, it passes on what
+    it took too much or too little, if the run has room for either; else the side is chosen that leaves less over, so
+    that the last document is rounded to the nearer one. Sources have LAST documents a band, at most.
+    """
+    item = F.struct((-F.col("size")).alias("large_first"), F.xxhash64("key", F.lit(seed)).alias("h"), F.struct("id", "key", "whole", "size", "mass", uniform(F.col("key"), F.col("id").cast("string"), F.lit(seed - 1)).alias("u")).alias("it"))
+    rows = open_items.withColumn("item", item).groupBy("src").agg(F.expr("transform(array_sort(collect_list(item)), x -> x.it)").alias("items"), F.sum("mass").alias("down"), F.sum(F.col("size") - F.col("mass")).alias("up"))
+    over = "greatest(abs({0}) - case when {0} > 0 then acc.up - (x.size - x.mass) else acc.down - x.mass end, 0D)"
+    none, one = over.format("(acc.carry + x.mass)"), over.format("(acc.carry + x.mass - x.size)")
+    take = f"case when {none} <= 1e-6 and {one} <= 1e-6 then cast(x.u * x.size < acc.carry + x.mass as bigint) when {none} <= {one} then 0L else 1L end"
+    walk = f"""aggregate(items, named_struct('carry', 0D, 'up', up, 'down', down, 'takes', cast(array() as array<bigint>)),
+      (acc, x) -> named_struct('carry', acc.carry + x.mass - x.size * {take}, 'up', acc.up - (x.size - x.mass), 'down', acc.down - x.mass, 'takes', concat(acc.takes, array({take}))),
+      acc -> acc.takes)"""
+    taken = rows.select("items", F.expr(walk).alias("takes")).select(F.explode(F.arrays_zip("items", "takes")).alias("x"))
+    return taken.select("x.items.id", "x.items.key", (F.col("x.items.whole") + F.col("x.takes")).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeat: float = MAX_REPEAT, seed: int = 20240) -> DataFrame:
     """docs (or its columns in `keep`) with mix_size, mix_source_size, mix_target and mix_copies; one row per input row.
 
-    A null source is a source of its own; null and empty texts have size 0 and are copied as their source's rate says
-    (once, if the whole source has no words). Rows equal in id, source and text are rounded as one item and its copies dealt over
-    them. Input columns named like an added one are replaced. An empty table gives an empty result. Reruns agree.
+    A source's taken words miss its target by no more than its smallest documents can't make up for. A null source is a source of its own; null and empty texts have size 0 and are copied as their source's rate says
+    (once, if the whole source has no words). Texts are read whole, however long. Rows equal in id, source and text are rounded as one item and its copies dealt over
+    them. Equal sizes are ordered by a hash. Input columns named like an added one are replaced. An empty table gives an empty result. Reruns agree.
     """
     kept = [c for c in only(docs, keep) if c.lower() not in {"mix_size", "mix_source_size", "mix_target", "mix_copies"}]
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -92,19 +116,24 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None, id_col: str = "d
     fraction = (F.col("part") > 1e-9) & (F.col("size") > 0)
     lone = F.when(F.col("size") > 0, 0).when(uniform(F.col("key"), F.lit(seed)) < F.col("part"), 1).otherwise(0)
     decided = [items.where(~fraction).select("id", "key", (F.col("whole") + lone).cast("long").alias("copies"))]
-    block = F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.ceil(F.col("n") / BLOCK))
-    level, openers = 0, items.where(fraction).select("src", block.alias("block"), "id", "key", "whole", "size", (F.col("part") * F.col("size")).alias("mass"))
-    width = plan.agg(F.max("n")).first()[0] or 0
-    while True:
+    openers = items.where(fraction).select("src", F.floor(F.log2("size") / 2).cast("int").alias("band"), "id", "key", "whole", "size", (F.col("part") * F.col("size")).alias("mass"))
+    bands = stage_out(openers.groupBy(F.col("src").alias("b_src"), F.col("band").alias("b_band")).agg(F.count("*").alias("b_n")), "mix-bands")
+    openers = openers.join(small(bands), F.col("src").eqNullSafe(F.col("b_src")) & (F.col("band") == F.col("b_band"))).drop("b_src", "b_band")
+    waiting = openers.where(F.col("b_n") <= LAST).select("src", "id", "key", "whole", "size", "mass")
+    blocks = F.greatest(F.lit(LAST), F.ceil(F.col("b_n") / BLOCK))
+    openers = openers.where(F.col("b_n") > LAST).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + 1)), blocks)).drop("b_n")
+    level, width = 0, bands.agg(F.max("b_n")).first()[0] or 0
+    while width > LAST:
         folded = stage_out(_fold(openers, id_type, level, seed), f"mix-level{level}")
         decided.append(folded.where("not open").select("id", "key", F.col("whole").alias("copies")))
-        width = -(-width // BLOCK)
-        if width <= 1:
-            break
+        width = max(LAST, ceil(width / BLOCK))
+        openers = folded.where("open").select("src", "band", "block", "id", "key", "whole", "size", "mass")
+        if width > LAST:  # blocks of smaller bands may meet, or stay as they are
+            openers = openers.withColumn("block", F.pmod("block", F.lit(max(LAST, ceil(width / BLOCK)))))
+        else:
+            waiting = waiting.unionByName(openers.select(*waiting.columns))
         level += 1
-        openers = folded.where("open").select("src", F.pmod("block", F.lit(-(-width // BLOCK))).alias("block"), "id", "key", "whole", "size", "mass")
-    last = F.col("mass") * 2 >= F.col("size")  # one document a source, rounded to the nearer side
-    decided.append(folded.where("open").select("id", "key", (F.col("whole") + last.cast("long")).alias("copies")))
+    decided.append(stage_out(_settle(waiting, seed), "mix-last"))
     choice = decided[0]
     for more in decided[1:]:
         choice = choice.unionByName(more)
@@ -120,9 +149,14 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None, id_col: str = "d
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as many times as the rounding takes it, with docs' own columns."""
-    out = mix_sources(docs, **options)
-    return out.where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: every row of docs as many times as the rounding takes it, with docs' own columns, whatever their names.
+
+    Nulls, equal rows and empty tables as in mix_sources.
+    """
+    names = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | options
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = mix_sources(docs.select(row, *[F.col(names[k]).alias(k) for k in ("id_col", "text_col", "source_col")]), **(options | {"keep": ["row"], "id_col": "id_col", "text_col": "text_col", "source_col": "source_col"}))
+    return out.where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir):
