@@ -1,8 +1,9 @@
 """Sharding by sampled splitters, law `bytes`: shards of near-equal size.
 
 A size-weighted sample of keys (hash of the text, hash of the id) gives quantile boundaries; rows are range-partitioned
-by them, ranges that turn out overfull are subdivided by a second sample, and exact totals of the ranges turn a row's
-place within its range into its place in the whole order. Equal texts are neighbours in that order.
+by them, and ranges that turn out overfull are subdivided by a second sample. A shard takes whole ranges; only the few
+ranges that a shard's edge runs through are read once more, to cut them at the row where the edge falls.
+Equal texts are neighbours in that order.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from sparkfrontier.llm.common import only, packed, stage_out, table
 #: A range holds about so many bytes; there are at least MIN_RANGES and at most MAX_RANGES, so that what the driver
 #: holds (16 sampled keys of 24 bytes a range) is bounded.
 RANGE_BYTES = 128 << 20
-MIN_RANGES, MAX_RANGES, SAMPLES_PER_RANGE = 384, 8192, 16
+MIN_RANGES, MAX_RANGES, SAMPLES_PER_RANGE = 384, 1 << 17, 16
 OVERFULL = 2.0
 
 
@@ -74,7 +75,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, keep: list[str] | None
     A row's size is its text's UTF-8 bytes (null: none) plus 8. Rows are ordered by (hash of text, hash of id, id);
     shard k takes the k-th of n_shards equal shares of the bytes, so shards differ by about one row and equal texts share a shard
     unless a shard's edge runs through them. Slots count from 0 within a shard, in that order. Null ids and texts are hashed
-    like values; rows equal in both may trade places. Input columns named like an added one are replaced. An empty table
+    like values; rows equal in both may trade places, and are dealt like others, however many. A long text is one row and is
+    never cut, so shards differ by the longest text at an edge at most. Input columns named like an added one are replaced. An empty table
     gives an empty result.
     """
     added = {"shard_size", "shard", "shard_slot"}
@@ -85,26 +87,34 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, keep: list[str] | None
         base = stage_out(base, "shard-rows")
     work = base.drop("_") if keep is not None else stage_out(base.drop("_"), "shard-rows")
     total = work.agg(F.sum("size")).first()[0]
-    if not total:
+    if not total:  # an empty table, as every row has a size
         return base.select(*[f"_.`{c}`" for c in kept], F.col("size").alias("shard_size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_slot"))
     cuts, found = _cuts(work, total, max(MIN_RANGES, min(MAX_RANGES, -(-total // RANGE_BYTES))))
     before_b, before_n = np.zeros(len(cuts) + 1, "i8"), np.zeros(len(cuts) + 1, "i8")
     for x in found:
         before_b[x["r"]], before_n[x["r"]] = x["b"], x["n"]
-    before_b, before_n = np.cumsum(before_b) - before_b, np.cumsum(before_n) - before_n
-    bytes_before, rows_before = F.pandas_udf(lambda r: pd.Series(before_b[r]), "long"), F.pandas_udf(lambda r: pd.Series(before_n[r]), "long")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("r", _ranges(cuts)("k1", "k2"))
-        here = Window.partitionBy("r").orderBy("k1", "k2", "id")
-        rows = rows.withColumn("b", F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.row_number().over(here))
-        middle = bytes_before("r") + F.col("b") - F.col("size") / 2
-        shard = F.least(F.lit(n_shards - 1), F.floor(middle * F.lit(n_shards / total)))
-        return rows.withColumn("shard", shard.cast("int")).withColumn("place", rows_before("r") + F.col("n") - 1)
-
-    first = {x["shard"]: x["place"] for x in placed(work).groupBy("shard").agg(F.min("place").alias("place")).collect()}
-    start = F.element_at(F.array(*[F.lit(first.get(k, 0)).cast("long") for k in range(n_shards)]), F.col("shard") + 1)
-    return placed(base).select(*[f"_.`{c}`" for c in kept], F.col("size").alias("shard_size"), "shard", (F.col("place") - start).alias("shard_slot"))
+    ends = np.cumsum(before_b)
+    before_b, before_n = ends - before_b, np.cumsum(before_n) - before_n
+    rows_before = F.pandas_udf(lambda r: pd.Series(before_n[r]), "long")
+    edges = _edges(work.withColumn("r", _ranges(cuts)("k1", "k2")), total, n_shards, ends, before_b, before_n)
+    here = Window.partitionBy("r").orderBy("k1", "k2", "id")
+    place = (rows_before("r") + F.row_number().over(here) - 1).alias("place")
+    rows = base.withColumn("r", _ranges(cuts)("k1", "k2")).select("_", "size", place)
+    shard = F.size(F.filter(F.array(*[F.lit(e) for e in edges[1:]]).cast("array<bigint>"), lambda e: e <= F.col("place")))
+    start = F.element_at(F.array(*[F.lit(e) for e in edges]).cast("array<bigint>"), F.col("shard") + 1)
+    return rows.withColumn("shard", shard).select(*[f"_.`{c}`" for c in kept], F.col("size").alias("shard_size"), "shard", (F.col("place") - start).alias("shard_slot"))
+
+
+def _edges(ranged: DataFrame, total: int, n_shards: int, ends: np.ndarray, before_b: np.ndarray, before_n: np.ndarray) -> list[int]:
+    """The places of the shards' first rows. An edge lies in the range where the bytes reach the shard's share; only those ranges are cut at a row."""
+    goals = [total * k / n_shards for k in range(1, n_shards)]
+    inside = [int(np.searchsorted(ends, g, "right")) for g in goals]
+    here = Window.partitionBy("r").orderBy("k1", "k2", "id")
+    cut = ranged.where(F.col("r").isin(sorted(set(inside)))).select("r", "size", F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("b"), F.row_number().over(here).alias("n"))
+    # a row belongs to the shard that its middle lies in, so an edge stands behind the rows whose middle is below its goal
+    passed = [F.sum(F.when((F.col("r") == r) & (F.col("b") - F.col("size") / 2 < g - float(before_b[r])), 1).otherwise(0)).alias(f"e{i}") for i, (r, g) in enumerate(zip(inside, goals, strict=True))]
+    found = cut.agg(*passed).first() if goals else ()
+    return [0, *[int(before_n[r]) + int(n or 0) for r, n in zip(inside, found, strict=True)]]
 
 
 def op2_sharding(spark, sf_dir):
