@@ -49,9 +49,19 @@ def stage_out(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has few rows; df must be cheap to count (staged)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if a count proves that it has few rows; df must be cheap to count (staged).
+
+    Rows that aren't narrow come with a weight (elements, or units of a few dozen bytes), whose sum is bounded instead.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= rows else df
+
+
+def text_id(text: Column) -> Column:
+    """128 bits that name a text; two texts of one id are out of reach at any number of documents."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
