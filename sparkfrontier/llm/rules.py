@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, packed, small, stage_out, table, word_count, words
+from sparkfrontier.llm.common import only, packed, small, stage_out, table, text_id, word_count, words
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -57,7 +57,7 @@ def base_statistics(df: DataFrame, text: str) -> DataFrame:
 def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(host, text_hash, gone): hashes of the boilerplate lines, for each different text of a host that has any."""
     line = F.array_distinct(F.transform(F.transform(_lines(F.col(text_col)), normal_line), lambda x: F.xxhash64(x)))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), line.alias("lines")).where(F.size("lines") > 0)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), text_id(F.col(text_col)).alias("text_hash"), line.alias("lines")).where(F.size("lines") > 0)
     # equal texts count once, and are dropped before anything is exploded
     texts = texts.dropDuplicates(["host", "text_hash"])
     texts = stage_out(texts, "rules-lines")
@@ -82,13 +82,14 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, text_col: str
     clean_text is the text without its boilerplate lines, removed_words the words that it lacks.
 
     A null or empty text has no words and fails the base rules. A null host is a host of its own. Equal texts of a host
-    count as one document of it, so copies don't make each other's lines boilerplate, and share their verdict. Input
+    count as one document of it, so copies and repeated rows don't make each other's lines boilerplate, and share their
+    verdict. Texts are read whole, however long; a line at the limit stays. Input
     columns named like an added one are replaced. An empty table gives an empty result.
     """
     added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "removed_words", "base_failed", "kept"}
     kept = [c for c in only(docs, keep) if c.lower() not in added]
     base = base_statistics(docs.select(packed(kept).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("body")), "body")
-    base = base.withColumn("text_hash", F.xxhash64("body"))
+    base = base.withColumn("text_hash", text_id(F.col("body")))
     found = boilerplate_lines(docs, text_col, host_col).select(F.col("host").alias("host_"), F.col("text_hash").alias("hash_"), "gone")
     out = base.join(found, (F.col("text_hash") == F.col("hash_")) & F.col("host").eqNullSafe(F.col("host_")), "left")
     out = out.withColumn("clean_text", without_lines(F.col("body"), F.col("gone")))

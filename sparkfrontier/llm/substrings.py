@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm.common import only, packed, small, stage_out, table
+from sparkfrontier.llm.common import only, packed, small, stage_out, table, text_id
 from sparkfrontier.llm.tokens import mix, powers, windows, word_hashes
 
 K, M = 20, 5
@@ -150,16 +150,16 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str =
 
     Every word is removed that a window of K words covers whose words also start earlier: in a row of a smaller id, or of the same id
     at an earlier word. Ids are whole numbers; null ids come last, as one id. Rows of equal id and text don't remove each other.
-    A null text has no words; texts of under K words stay. Input columns named like an added one are replaced. An empty
+    A null text has no words; texts of under K words stay. Texts are read whole, in parts if they are very long. Input columns named like an added one are replaced. An empty
     table gives an empty result.
     """
     added = {"n_words", "n_removed", "kept_text", "kept_sha256"}
     kept = [c for c in only(docs, keep) if c.lower() not in added]
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(packed(kept).alias("rest"), doc.alias("doc"), F.col(text_col).cast("string").alias("body")).withColumn("text_hash", F.xxhash64("body"))
-    groups = rows.where("body is not null").groupBy("text_hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text_hash").alias("h"), "first")
+    groups = rows.where("body is not null").groupBy(text_id(F.col("body")).alias("h")).agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     groups = small(stage_out(groups, "spans-copies"))
-    rows = rows.join(groups, F.col("text_hash") == F.col("h"), "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).drop("h", "first")
+    rows = rows.join(groups, text_id(F.col("body")) == F.col("h"), "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).drop("h", "first")
     shared_ids = rows.groupBy("doc").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("not (a <=> b)").select(F.col("doc").alias("d"))
     shared_ids = small(stage_out(shared_ids, "spans-ids")).withColumn("tied", F.lit(True))
     rows = rows.join(shared_ids, F.col("doc") == F.col("d"), "left").withColumn("tie", F.when(F.col("tied"), F.coalesce("text_hash", F.lit(0))).otherwise(0)).drop("d", "tied", "text_hash")
