@@ -61,9 +61,14 @@ class Scorer:
         """The weight of the lexicon's longest match on a word, 0 if none."""
         if word in self.words:
             return self.words[word]
-        if word[: PREFIXES[-1]] in self.heads and (stem := _matches(word, self.stems)):
-            return self.stems[stem]
-        return 0.0
+        stem = _matches(word, self.stems)
+        return self.stems[stem] if stem else 0.0
+
+    def insults(self, tokens: list[str]) -> dict[int, float]:
+        """Place and weight of the lexicon's matches; most clauses have no word that could be one."""
+        words, heads, k = self.words, self.heads, PREFIXES[-1]
+        maybe = [i for i, w in enumerate(tokens) if w in words or w[:k] in heads]
+        return {i: x for i in maybe if (x := self.entry(tokens[i]))}
 
     def features(self, text: str | None) -> list[float]:
         """Per channel, log(1 + summed weight over all clauses); then log(1 + matched clauses) and log(1 + clauses)."""
@@ -71,7 +76,7 @@ class Scorer:
         for m in _CLAUSE.finditer((text or "").lower()):
             tokens = _WORD.findall(m.group(1))
             clauses += bool(tokens)
-            insults = {i: x for i, w in enumerate(tokens) if (x := self.entry(w))}
+            insults = self.insults(tokens)
             if not insults and THREATS.isdisjoint(tokens):
                 continue
             classes = [grammar.INSULT if i in insults else _CLASS.get(w, grammar.OTHER) for i, w in enumerate(tokens)]
