@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import quote, urljoin, urlsplit
+from urllib.parse import quote, unquote_to_bytes, urlencode, urljoin, urlparse, urlsplit, urlunparse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -89,29 +89,58 @@ def accepts(url: Column, s: Settings = DEFAULTS) -> Column:
     return reject_reason(url, s).isNull()
 
 
+def _json_text(text: Column) -> Column:
+    """A text as JSON writes it in ASCII, without the quotes around it."""
+    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    units = F.hex(F.encode(quoted, "UTF-16BE"))
+    unit = lambda i: F.substring(units, (i * 4 + 1).cast("int"), F.lit(4))
+    sign = lambda u: F.when((u >= "0020") & (u < "0080"), F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+    escaped = F.array_join(F.transform(F.sequence(F.lit(0), (F.char_length(units) / 4).cast("int") - 1), lambda i: sign(unit(i))), "")
+    return F.when(quoted.rlike(r"[^\x20-\x7F]"), escaped).otherwise(quoted)
+
+
 def fingerprint(url: Column) -> Column:
-    """SHA-1 of a GET request for the URL, as JSON with sorted keys and ASCII escapes left to URLs that need none."""
-    quoted = F.replace(F.replace(url, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.sha1(F.concat(F.lit('{"body": "", "headers": {}, "method": "GET", "url": "'), quoted, F.lit('"}')))
+    """SHA-1 of a GET request for the URL, as JSON with sorted keys and ASCII escapes."""
+    return F.sha1(F.concat(F.lit('{"body": "", "headers": {}, "method": "GET", "url": "'), _json_text(url), F.lit('"}')))
+
+
+def hash128(url: Column) -> Column:
+    """The first 16 bytes of the fingerprint, big-endian: what a filter of 128-bit keys holds."""
+    return F.unhex(F.substring(fingerprint(url), 1, 32))
 
 
 _SCHEME = re.compile(r"^([^:/]+):")
-_HEX = re.compile(r"%([0-9A-Fa-f]{2})")
-_PATH_SAFE = "/:@!$&'()*+,;=-._~%"
-_QUERY_SAFE = "/:@!$'()*,;?-._~%"
+# Signs that stay in a path, and in what follows a semicolon.
+_PATH_SAFE = ":/?[]@!$&'()*+,;=-._~%"
+_PARAMS_SAFE = _PATH_SAFE + "#"
+#: Escaped slashes and question marks keep their escapes, as they would end the path otherwise.
+_KEPT = re.compile(r"%(2f|3f)", re.IGNORECASE)
+
+
+def _authority(netloc: str) -> str:
+    """Host in lower case and in its ASCII form, without an empty port; user information as it is."""
+    user, at, rest = netloc.rpartition("@")
+    if not rest.isascii():
+        name, colon, port = rest.partition(":")
+        try:
+            rest = name.encode("idna").decode() + colon + port
+        except UnicodeError:
+            pass
+    return user + at + rest.lower().rstrip(":")
 
 
 def canonical(url: str) -> str:
-    """Lower-case authority, sorted query pairs with blanks kept, upper-case escapes, `/` for an empty path, no fragment.
+    """The form that equal requests share: pairs of the query decoded as forms are, sorted and encoded again, blanks kept;
+    escapes of the path taken back where they aren't needed, upper-case where they are; `/` for an empty path; no fragment.
 
     Dot segments and default ports stay.
     """
-    p = urlsplit(url)
-    fix = lambda text, safe: _HEX.sub(lambda m: "%" + m.group(1).upper(), quote(text, safe=safe))
-    plain = lambda text: re.sub(r"%(7[Ee]|2[DdEe]|5[Ff]|3[0-9]|4[1-9A-Fa-f]|5[0-9Aa]|6[1-9A-Fa-f]|7[0-9Aa])", lambda m: chr(int(m.group(1), 16)), text)
-    pairs = sorted((k, v) for k, _, v in (x.partition("=") for x in p.query.split("&") if x))
-    q = "&".join(f"{fix(plain(k), _QUERY_SAFE)}={fix(plain(v), _QUERY_SAFE)}" for k, v in pairs)
-    return f"{p.scheme.lower()}://{p.netloc.lower()}{fix(plain(p.path), _PATH_SAFE) or '/'}{'?' + q if q else ''}"
+    p = urlparse(url)
+    pairs = [pair.partition("=") for part in p.query.split("&") for pair in part.split(";") if pair]
+    plain = lambda text: unquote_to_bytes(text.replace("+", " "))
+    query = urlencode(sorted((plain(k), plain(v)) for k, _, v in pairs))
+    path = quote(unquote_to_bytes(_KEPT.sub(lambda m: "%25" + m.group(1).upper(), p.path)), safe=_PATH_SAFE)
+    return urlunparse((p.scheme.lower(), _authority(p.netloc), path or "/", quote(p.params, safe=_PARAMS_SAFE), query, ""))
 
 
 def normalize(href: str | None, base: str | None) -> str | None:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfrontier.config import DEFAULTS
 from sparkfrontier.functions.domains import shard_of, slot_key
 from sparkfrontier.functions.urls import fingerprint
-from sparkfrontier.operators.running import numbered
+from sparkfrontier.operators.running import Cuts, numbered
 
 
 def first_seen(rows: DataFrame, url: str, seq: str) -> DataFrame:
@@ -27,6 +31,20 @@ def capped(rows: DataFrame, key: str, seq: str, cap: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(seq))).where(F.col("nth") <= cap)
 
 
+def capped_after(rows: DataFrame, counts: DataFrame, key: str, seq: str, cap: int) -> DataFrame:
+    """The first rows of each key that its stored counter (key, count) leaves room for; a key without a counter starts at 0.
+
+    Only `cap` rows of a key can pass, so the others go before counters are joined.
+    """
+    first = capped(rows, key, seq, cap)
+    return first.join(counts.select(key, F.col("count").alias("_stored")), key, "left").withColumn("nth", F.col("nth") + F.coalesce("_stored", F.lit(0))).drop("_stored").where(F.col("nth") <= cap)
+
+
+def counters_after(counts: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Stored counters with the rows that were let through added."""
+    return counts.select(key, "count").unionByName(kept.groupBy(key).agg(F.count("*").alias("count"))).groupBy(key).agg(F.sum("count").alias("count"))
+
+
 def queue_depth(changes: DataFrame, key: str, order: list[str], delta: str) -> DataFrame:
     """Per key the deepest its queue was and how deep it ends, from +1 and -1 rows in order."""
     depth = F.sum(delta).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -50,15 +68,57 @@ def admission(rows: DataFrame, queues: int = DEFAULTS.max_queues, cap: int = DEF
     firsts = numbered(rows.groupBy("slot").agg(F.min("seq").alias("first_seq")), "first_seq", []).withColumnRenamed("row_index", "slot_rank")
     rows = rows.join(firsts, "slot").withColumn("new_domain", F.col("seq") == F.col("first_seq"))
     open_slot = F.col("slot_rank") <= queues
-    rows = numbered(rows, "seq", [], {"eligible": open_slot.cast("long")}).drop("row_index")
+    cuts = Cuts(rows, ["seq"])
+    rows = numbered(rows, "seq", [], {"eligible": open_slot.cast("long")}, cuts=cuts).drop("row_index")
     rows = rows.withColumn("full", F.col("eligible") > cap)
-    rows = numbered(rows, "seq", [], {"exempted": (open_slot & F.col("full") & F.col("new_domain")).cast("long"), "opened": (open_slot & F.col("new_domain") & ~F.col("full")).cast("long")}).drop("row_index")
+    rows = numbered(rows, "seq", [], cuts=cuts, sums={"exempted": (open_slot & F.col("full") & F.col("new_domain")).cast("long"), "opened": (open_slot & F.col("new_domain") & ~F.col("full")).cast("long")}).drop("row_index")
     exempt = F.col("new_domain") & (F.col("exempted") <= ceiling - cap)
     live = F.col("opened") + F.least(F.col("exempted"), F.lit(ceiling - cap))
     verdict = F.when(~open_slot & (live >= queues), "over_queues").when(open_slot & (~F.col("full") | exempt), "admitted").when(~open_slot & ~F.col("full"), "over_queues").otherwise("over_capacity")
     return rows.select("slot", "seq", "new_domain", verdict.alias("verdict"))
 
 
+_REPLAYED = "shard int, slot string, seq long, verdict string"
+
+
+def admission_replay(events: DataFrame, queues: int = DEFAULTS.max_queues, cap: int = DEFAULTS.max_frontier, exempt_factor: float = DEFAULTS.exempt_factor) -> DataFrame:
+    """(shard, seq, slot, kind) events, kind `put` or `take` -> puts with their verdict, while rows are taken out as well.
+
+    A drained queue frees its place, and a take without a queue does nothing. Limits are of a shard, and so is the state: its
+    events are one sequence by nature, streamed through one task that holds `queues` counters and the slots seen.
+    """
+    ceiling = int(cap * exempt_factor)
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, live, seen, size = None, Counter(), set(), 0
+        for frame in frames:
+            out = []
+            for s, seq, slot, kind in zip(frame["shard"], frame["seq"], frame["slot"], frame["kind"], strict=True):
+                if s != shard:
+                    shard, live, seen, size = s, Counter(), set(), 0
+                if kind == "take":
+                    if live[slot]:
+                        live[slot] -= 1
+                        size -= 1
+                    if not live[slot]:
+                        del live[slot]
+                    continue
+                fresh = slot not in seen
+                seen.add(slot)
+                if slot not in live and len(live) >= queues:
+                    verdict = "over_queues"
+                elif size >= cap and not (fresh and size < ceiling):
+                    verdict = "over_capacity"
+                else:
+                    verdict = "admitted"
+                    live[slot] += 1
+                    size += 1
+                out.append((s, slot, seq, verdict))
+            yield pd.DataFrame(out, columns=["shard", "slot", "seq", "verdict"])
+
+    return events.select(F.col("shard").cast("int").alias("shard"), "seq", F.col("slot").cast("string").alias("slot"), "kind").repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(replay, _REPLAYED)
+
+
 def limiter_schedule(rows: DataFrame, delay: float = DEFAULTS.download_delay) -> DataFrame:
     """(slot, seq, arrive, rtt) with start: start_k = max(arrive_k, end of k-1 + delay), in closed form.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkfrontier.functions.domains import shard_of
-from sparkfrontier.functions.urls import fingerprint, without_fragment
+from sparkfrontier.functions.urls import fingerprint, hash128, without_fragment
 from sparkfrontier.operators import audit, frontier
 from sparkfrontier.sources import relations as r
 
@@ -32,6 +32,28 @@ def per_domain_cap(spark, sf_dir):
     return frontier.capped(r.arrivals(spark, sf_dir), "slot", "seq", 20).groupBy("slot").agg(F.count("*").alias("kept"), F.max("seq").alias("last_seq"))
 
 
+def url_hash128(spark, sf_dir):
+    return _urls(spark, sf_dir).select("page_id", F.lower(F.hex(hash128(F.col("url")))).alias("key"))
+
+
+def per_domain_cap_resumed(spark, sf_dir):
+    """The cap of 20 when every third slot has a stored counter."""
+    a = r.arrivals(spark, sf_dir)
+    stored = a.select("slot").distinct().where("slot % 3 = 0").select("slot", F.pmod("slot", F.lit(25)).cast("long").alias("count"))
+    kept = frontier.capped_after(a, stored, "slot", "seq", 20)
+    return frontier.counters_after(stored, kept, "slot").select("slot", F.col("count").cast("long").alias("n"))
+
+
+def admission_replay(spark, sf_dir):
+    """Arrivals put and, some time later, taken, in four shards with small limits."""
+    a = r.arrivals(spark, sf_dir)
+    shard = F.pmod("slot", F.lit(4)).cast("int").alias("shard")
+    puts = a.select(shard, "slot", F.col("seq").alias("at"), F.lit("put").alias("kind"))
+    takes = a.where("seq % 3 <> 0").select(shard, "slot", (F.col("seq") + 40).alias("at"), F.lit("take").alias("kind"))
+    events = puts.unionByName(takes).select("shard", "slot", (F.col("at") * 2 + (F.col("kind") == "take").cast("long")).alias("seq"), "kind")
+    return frontier.admission_replay(events, queues=4, cap=30).groupBy("shard", "verdict").agg(F.count("*").alias("n"))
+
+
 def queue_depth(spark, sf_dir):
     a = r.arrivals(spark, sf_dir)
     changes = a.select("slot", F.col("arrive").alias("t"), F.lit(1).alias("delta"), "seq").unionByName(a.select("slot", (F.col("arrive") + F.col("rtt") * 50).alias("t"), F.lit(-1).alias("delta"), "seq"))
@@ -88,7 +110,7 @@ def exit_codes(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-QUERIES = {f.__name__: f for f in (url_fingerprint, dedup_first_seen, dedup_anti_join, per_domain_cap, queue_depth, wave_order, admission_caps, limiter_schedule, shard_assignment, shard_balance, handoff_counts, idle_slots, redirect_reroute, exit_codes)}
+QUERIES = {f.__name__: f for f in (url_fingerprint, dedup_first_seen, dedup_anti_join, url_hash128, per_domain_cap, per_domain_cap_resumed, admission_replay, queue_depth, wave_order, admission_caps, limiter_schedule, shard_assignment, shard_balance, handoff_counts, idle_slots, redirect_reroute, exit_codes)}
 
 _U = "u AS (SELECT page_id, split_part(url, '#', 1) AS url FROM pages)"
 _FP = """sha1('{"body": "", "headers": {}, "method": "GET", "url": "' || url || '"}')"""
@@ -99,6 +121,9 @@ ORACLE_SQL = {
     "dedup_first_seen": f"WITH {_U} SELECT min(page_id) AS page_id, url FROM u GROUP BY url",
     "dedup_anti_join": f"WITH {_U} SELECT page_id, url FROM u WHERE url NOT IN (SELECT url FROM u WHERE page_id % 3 = 0)",
     "per_domain_cap": f"WITH {_A} SELECT slot, count(*) AS kept, max(seq) AS last_seq FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY seq) AS n FROM a) WHERE n <= 20 GROUP BY slot",
+    "url_hash128": f"WITH {_U} SELECT page_id, substr({_FP}, 1, 32) AS key FROM u",
+    "per_domain_cap_resumed": f"""WITH {_A}, s AS (SELECT DISTINCT slot, (slot % 25)::BIGINT AS c FROM a WHERE slot % 3 = 0), k AS (SELECT slot, count(*) AS n FROM a GROUP BY slot)
+SELECT slot, (coalesce(c, 0) + least(n, greatest(20 - coalesce(c, 0), 0)))::BIGINT AS n FROM k LEFT JOIN s USING (slot)""",
     "queue_depth": f"""WITH {_A}, c AS (SELECT slot, arrive AS t, 1 AS delta, seq FROM a UNION ALL SELECT slot, arrive + rtt * 50, -1, seq FROM a),
 d AS (SELECT slot, delta, sum(delta) OVER (PARTITION BY slot ORDER BY t, seq, delta ROWS UNBOUNDED PRECEDING) AS depth FROM c)
 SELECT slot, max(depth)::BIGINT AS deepest, sum(delta)::BIGINT AS left FROM d GROUP BY slot""",

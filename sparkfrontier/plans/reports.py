@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkfrontier.functions.domains import slot_key
 from sparkfrontier.functions.links import page_hrefs
 from sparkfrontier.operators import report
-from sparkfrontier.operators.running import upper_index
+from sparkfrontier.operators.running import upper_indexes
 from sparkfrontier.sources import relations as r
 from sparkfrontier.sources.logs import crawled_lines, parse_crawled
 
@@ -25,7 +25,7 @@ def status_counts(spark, sf_dir):
 
 def latency_p50_p90(spark, sf_dir):
     late = r.crawled(spark, sf_dir).select((F.col("recv_ts") - F.col("sent_ts")).alias("late"))
-    return spark.createDataFrame([(upper_index(late, "late", 0.5), upper_index(late, "late", 0.9))], "p50 double, p90 double").select(F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"))
+    return spark.createDataFrame([tuple(upper_indexes(late, "late", [0.5, 0.9]))], "p50 double, p90 double").select(F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"))
 
 
 def unique_ok(spark, sf_dir):

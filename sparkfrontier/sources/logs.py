@@ -9,66 +9,75 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+#: Bytes inflated at once; fewer in damaged members, as what a step holds in front of the damage is lost with it.
+STEP, SMALL_STEP = 1 << 16, 1 << 9
 _MAGIC = b"\x1f\x8b\x08"
 LINES_SCHEMA = "path string, seq long, line string, damaged int, truncated int"
 
 
-def members(data: bytes) -> Iterator[tuple[list[bytes], bool, bool]]:
-    """(lines, damaged, truncated) for each member: all rows of intact ones, whole rows in front of the damage of others.
+def members(data: bytes) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, damaged) of each member. Nothing that is inflated is kept.
 
     Where a damaged member ends can't be known, so the next header is searched for, and only then: inside intact members
     its bytes occur by chance.
     """
     pos, view = 0, memoryview(data)
     while pos < len(data):
-        end = len(data)
-        lines, tail, used = _inflate(view[pos:end])
-        if used is None:
+        inflater, at = zlib.decompressobj(31), pos
+        try:
+            while at < len(data) and not inflater.eof:
+                inflater.decompress(view[at : at + STEP])
+                at += STEP
+        except zlib.error:
+            pass
+        if inflater.eof:
+            end, damaged = min(at, len(data)) - len(inflater.unused_data), False
+        else:
             follow = data.find(_MAGIC, pos + 1)
-            end = follow if follow > 0 else end
-            bounded, bounded_tail, _ = _inflate(view[pos:end])
-            yield bounded, True, bool(bounded_tail)
-            pos = end
-            continue
-        yield [*lines, tail] if tail else lines, False, False
-        pos += used
-
-
-def _inflate(blob) -> tuple[list[bytes], bytes, int | None]:
-    """(whole lines, rest, bytes used) of the member at the start; None used if it is damaged."""
-    inflater, lines, rest = zlib.decompressobj(31), [], b""
-    for at in range(0, len(blob), BLOCK):
-        for step in range(at, min(at + BLOCK, len(blob)), 1 << 16):
-            try:
-                out = inflater.decompress(blob[step : min(step + (1 << 16), at + BLOCK)])
-            except zlib.error:
-                return lines, rest, None
-            *whole, rest = (rest + out).split(b"\n")
-            lines += whole
-            if inflater.eof:
-                return lines, rest, min(step + (1 << 16), at + BLOCK, len(blob)) - len(inflater.unused_data)
-    return lines, rest, None
+            end, damaged = follow if follow > 0 else len(data), True
+        yield pos, end, damaged
+        pos = end
+
+
+def lines_of(data: bytes, start: int, end: int, damaged: bool) -> Iterator[list[bytes]]:
+    """The whole rows of a member, a step's at a time; of a damaged one those in front of the damage, and an empty list if a part of a row is lost there."""
+    inflater, rest, view = zlib.decompressobj(31), b"", memoryview(data)
+    step = STEP if not damaged else SMALL_STEP
+    for at in range(start, end, step):
+        try:
+            out = inflater.decompress(view[at : min(at + step, end)])
+        except zlib.error:
+            break
+        *whole, rest = (rest + out).split(b"\n")
+        if whole:
+            yield whole
+    if damaged:
+        if rest:
+            yield []
+    elif rest:
+        yield [rest]
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"], strict=True):
-            seq = 0
-            for lines, damaged, truncated in members(bytes(content)):
-                for at in range(0, max(1, len(lines)), 100_000):
-                    part = lines[at : at + 100_000]
-                    rows = {"path": path, "seq": range(seq, seq + len(part)), "line": [x.decode("utf-8", "replace") for x in part], "damaged": 0, "truncated": 0}
-                    seq += len(part)
-                    yield pd.DataFrame(rows)
+            seq, data = 0, bytes(content)
+            for start, end, damaged in members(data):
+                truncated = 0
+                for lines in lines_of(data, start, end, damaged):
+                    truncated = int(not lines)
+                    if lines:
+                        yield pd.DataFrame({"path": path, "seq": range(seq, seq + len(lines)), "line": [x.decode("utf-8", "replace") for x in lines], "damaged": 0, "truncated": 0})
+                    seq += len(lines)
                 if damaged:  # a row without a line counts the damage
-                    yield pd.DataFrame({"path": [path], "seq": [seq], "line": [None], "damaged": [1], "truncated": [int(truncated)]})
+                    yield pd.DataFrame({"path": [path], "seq": [seq], "line": [None], "damaged": [1], "truncated": [truncated]})
 
 
 def read_gzip_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """path, seq, line of every recoverable row of gzip logs; rows with damaged = 1 have no line and count damaged members.
 
-    One task per file, as gzip can't be split; files are rotated at a size that a task holds.
+    One task per file, as gzip can't be split. The task holds the compressed file, which Spark reads up to 2 GB, and one
+    step of what is in it, however long its members are.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
     return files.mapInPandas(_read, LINES_SCHEMA)
@@ -110,13 +119,30 @@ def crawled_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", stamp("sent_ts"), F.format_string("%.3f", "recv_ts"), escaped(F.col("url")), "status", F.trim(F.substring_index("content_type", ";", 1)), F.col("n_links").cast("string"), F.col("bytes").cast("string")).alias("line"))
 
 
+def discovered_lines(rows: DataFrame) -> DataFrame:
+    """(line): a discovered URL a row; the log is written behind the filter of seen ones, so it has each once."""
+    return rows.select(escaped(F.col("url")).alias("line"))
+
+
+def dispatched_lines(rows: DataFrame) -> DataFrame:
+    """(line): what was sent, as the log has it: stamp, slot, URL and the monotonic stamp. Refused rows (accepted = false) aren't logged."""
+    sent = rows.where("accepted") if "accepted" in rows.columns else rows
+    return sent.select(F.concat_ws("\t", F.format_string("%.3f", "dispatch_ts"), escaped(F.col("slot_id")), escaped(F.col("url")), F.format_string("%.6f", "monotonic_ts")).alias("line"))
+
+
+def shard_of_file(path: Column) -> Column:
+    """The shard that a telemetry file is of, by its name: runstats-3.tsv is of shard 3, runstats.tsv of 0."""
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.replace(stem, F.lit("runstats"), F.lit("")), "^-+", ""), F.lit("")), F.lit("0"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """One column of lines as gzip text; the commit protocol makes files appear whole."""
     lines.write.mode("append").option("compression", "gzip").text(path)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A telemetry table with a header: rows of another width, and rows with an unreadable number, are left out."""
+    """A telemetry table with a header; further files may be given as a glob: rows of another width, and rows with an unreadable number, are left out."""
     raw = spark.read.text(path)
     header = raw.where(F.col("value").contains("\t")).first()
     names = header[0].split("\t") if header else []

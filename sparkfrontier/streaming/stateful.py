@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -73,12 +74,23 @@ def read_handoff(spark: SparkSession, path: str, schema: str, owner: int, shards
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, timeout: int = 300) -> DataFrame:
-    """What a finite stream leaves, as a table in memory; for tests and reports of bounded size."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """What a finite stream leaves, as a table below the shared folder; a batch that is run again replaces what it wrote."""
+    spark = stream.sparkSession
+    folder = f"{_shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
+    query = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={i}")).start()
     try:
         if not query.awaitTermination(timeout):
             raise TimeoutError(f"stream {name} took more than {timeout} s")
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batches/batch=*")
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return (folder or "file:///tmp/checkpoints").rstrip("/") + "/sparkfrontier"
