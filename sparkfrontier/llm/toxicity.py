@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from sparkfrontier.llm import grammar
 from sparkfrontier.llm.common import only, small, stage_out, table
@@ -113,7 +114,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column
     return found.groupBy("id_", "y").agg(F.min_by(text, F.struct(F.xxhash64(text), F.octet_length(text))).alias("text"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _tokens(text: pd.Series) -> pd.Series:
     return pd.Series([_WORD.findall(t.lower()) for t in text])
 
