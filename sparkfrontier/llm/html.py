@@ -170,9 +170,9 @@ class _Lines(HTMLParser):
                 self.free += len(data.strip())
 
     def parse_marked_section(self, i, report=1):
-        """`<![...`: a bogus comment up to the next `>`; the inherited method raises on most of them."""
+        """`<![...`: a bogus comment up to the next `>` or the page's end; the inherited method raises on most of them."""
         end = self.rawdata.find(">", i + 3)
-        return end + 1 if end >= 0 else -1
+        return end + 1 if end >= 0 else len(self.rawdata)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -43,11 +43,11 @@ def operators(labels, benchmark):
         "mixing": mixing.mix_sources,
         "sharding": sharding.shard_documents,
         "rules": rules.quality_rules,
-        "quality": lambda d: quality.score_quality(d, quality.learn(d, labels, held)),
+        "quality": lambda d: quality.score_quality(d, labels, held),
         "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.learn(d, labels, held)),
         "substrings": substrings.remove_repeats,
         "decontamination": lambda d: decontamination.flag_leaks(d, benchmark),
-        "pii": pii.surrogate,
+        "pii": lambda d: pii.surrogate(d, "key"),
         "chosen_path": chosen_path.jaccard_join,
     }
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfrontier.llm import chosen_path, decontamination, html, mixing, pii, rules, sharding, substrings, tokens, toxicity
+from sparkfrontier.llm import chosen_path, decontamination, html, mixing, pii, rules, sharding, substrings, tokens
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -43,13 +43,12 @@ def test_mix_keeps_the_law(docs, rows):
     again = mixing.mix_sources(docs).collect()
     key = lambda r: (r["doc_id"], r["mix_copies"])
     assert sorted(map(key, got)) == sorted(map(key, again))
-    size, taken, target, largest = Counter(), Counter(), {}, Counter()
+    size, taken, target = Counter(), Counter(), {}
     for r in got:
         assert r["mix_size"] == len(r["text"].split()) and 0 <= r["mix_copies"] <= 3
         size[r["source"]] += r["mix_size"]
         taken[r["source"]] += r["mix_size"] * r["mix_copies"]
         target[r["source"]] = r["mix_target"]
-        largest[r["source"]] = max(largest[r["source"]], r["mix_size"])
     weight = {s: i % 3 + 1 for i, s in enumerate(sorted(size))}
     want, open_, left = {}, set(size), float(sum(size.values()))
     while open_:  # reshare by weight until none is above its cap
@@ -63,7 +62,7 @@ def test_mix_keeps_the_law(docs, rows):
             left -= want[s]
         open_ -= over
     assert all(abs(target[s] - want[s]) < 1e-6 for s in size)
-    assert all(abs(taken[s] - target[s]) <= largest[s] for s in size)
+    assert all(abs(taken[s] - target[s]) <= max(12, 0.01 * target[s]) for s in size)
 
 
 def test_mixed_documents_repeat_rows(docs):
@@ -192,7 +191,7 @@ def test_surrogates_keep_form_identity_and_difference(spark):
         (2, "Mrs. Mary Smith, Dr. Smith and Иван Петров; JOHN.SMITH@ACME.COM, DE89 3704 0044 0532 0130 00, 10.0.3.4"),
         (3, "nothing here but version 2.0, 555 apples and 12-05."),
     ]
-    got = {r["doc_id"]: r for r in pii.surrogate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.surrogate(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
     one, two = got[1]["text"], got[2]["text"]
     assert got[3]["text"] == rows[2][1] and got[3]["pii_entities"] == 0
     for old in ("John", "Smith", "john.smith", "acme", "663", "4111 1111", "Mary", "Петров", "JOHN.SMITH", "3704", "10.0.3.4"):
@@ -216,7 +215,7 @@ def test_surrogate_clashes_are_resolved(spark, monkeypatch):
     crowded = lambda kind, norm, attempt, secret: F.when((kind == "ssn") & (attempt < 3), F.lit("111111111")).otherwise(plain(kind, norm, attempt, secret))
     monkeypatch.setattr(pii, "new_norm", crowded)
     rows = [(i, f"number {100 + i}-22-3333 twice {100 + i}-22-3333") for i in range(6)]
-    got = [r["text"].split() for r in pii.surrogate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [r["text"].split() for r in pii.surrogate(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()]
     assert all(x[1] == x[3] for x in got) and len({x[1] for x in got}) == 6
 
 
@@ -228,25 +227,3 @@ def test_article_without_the_rest():
     assert html.extract(page) == "Head & line\nFirst bold text goes on\nShort.\none\ntwo"
     bare = "<body><div><a href=x>a</a> <a href=y>b</a></div><div>" + "<p>A paragraph of plain words that goes on for a while, as text does.</p>" * 6 + "</div><div><a href=z>c</a></div></body>"
     assert html.extract(bare).count("\n") == 5 and "a b" not in html.extract(bare)
-
-
-def test_grammar_reads_clauses():
-    g = toxicity.Grammar({"idiot": 3.0}, {"lost": 2.0}, -2.0, (4.0, 5.0, 0.5, 0.3, 2.0, 0.0))
-    assert g.score("you are an idiot") > g.score("an idiot came") > g.score("he is not an idiot")
-    assert g.score("she said that he was an idiot") < g.score("an idiot came")
-    assert g.score("lostling here") > 0.7 > g.score("nothing to see") and g.score(None) == g.score("")
-
-
-def test_grammar_learns_words_and_stems():
-    rng = random.Random(2)
-    texts, toxic = [], []
-    for i in range(400):
-        words = ["".join(rng.choices("abdefimnorst", k=4)) for _ in range(60)]
-        y = i % 4 == 0
-        if y:
-            words[rng.randrange(60)] = rng.choice(["blurgh", "vexlo" + rng.choice("abcdefgh") + rng.choice("xyz")])
-        texts.append(" ".join(words))
-        toxic.append(int(y))
-    g = toxicity.fit(texts[:300], toxic[:300])
-    assert "blurgh" in g.words and any("vexlo".startswith(s) or s.startswith("vexl") for s in g.stems)
-    assert sum((g.score(t) >= 0.7) == bool(y) for t, y in zip(texts[300:], toxic[300:], strict=True)) >= 98

@@ -25,7 +25,7 @@ def test_half_copies_at_every_place(spark):
 )
 def test_lone_entities_are_found(spark, text, kind):
     docs = spark.createDataFrame([(1, text), (2, f"{text} in 2024"), (3, None), (4, "nothing here")], "i int, text string")
-    got = {r["i"]: [(e["raw"], e["kind"]) for e in r["e"]] for r in docs.select("i", pii.entities(F.col("text")).alias("e")).collect()}
+    got = {r["i"]: [(e["raw"], e["kind"]) for e in r["e"]] for r in docs.select("i", pii.entities(F.col("text"), pii.entity_pattern()).alias("e")).collect()}
     assert [k for _, k in got[1]] == [kind] and got[1] == got[2] and got[3] == got[4] == []
 
 
