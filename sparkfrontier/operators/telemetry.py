@@ -20,8 +20,8 @@ def sampled_median(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def rates(rows: DataFrame, key: str, order: str, ticks: str, per_second: float = 100.0) -> DataFrame:
-    """Share of a CPU between consecutive samples, in percent, from a counter of ticks; null for the first sample and for no time."""
-    w = Window.partitionBy(key).orderBy(order)
+    """Share of a CPU between consecutive samples, in percent, from a counter of ticks; null for the first sample and for no time. Samples of one time come by their ticks."""
+    w = Window.partitionBy(key).orderBy(order, ticks)
     span = F.col(order) - F.lag(order).over(w)
     return rows.withColumn("percent", F.when(span > 0, 100 * (F.col(ticks) - F.lag(ticks).over(w)) / per_second / span))
 

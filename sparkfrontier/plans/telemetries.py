@@ -19,8 +19,7 @@ def lag_samples(spark, sf_dir):
 
 
 def cpu_percent(spark, sf_dir):
-    s = r.runstats(spark, sf_dir).where("seq % 50 = 0")
-    return telemetry.rates(s, "shard", "elapsed", "crawled").select("shard", "seq", F.round("percent", 9).alias("percent"))
+    return telemetry.rates(r.runstats(spark, sf_dir), "shard", "elapsed", "crawled").select("shard", "seq", F.round("percent", 9).alias("percent"))
 
 
 def failure_streaks(spark, sf_dir):
@@ -59,7 +58,7 @@ ORACLE_SQL = {
     "lag_samples": f"""WITH {_C}, d AS (SELECT floor(t / 86400)::BIGINT AS day, value, row_number() OVER (PARTITION BY floor(t / 86400) ORDER BY value) AS rn, count(*) OVER (PARTITION BY floor(t / 86400)) AS n FROM c)
 SELECT day, round(max(value) FILTER (rn = n // 2 + 1), 6) AS median, round(max(value), 6) AS highest FROM d GROUP BY 1""",
     "cpu_percent": f"""WITH {_C}, s AS (SELECT (user_id % 2)::INT AS shard, event_id AS seq, t - (SELECT min(t) FROM c) AS elapsed, count(*) OVER (PARTITION BY user_id % 2 ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS crawled FROM c),
-g AS (SELECT shard, seq, elapsed - lag(elapsed) OVER w AS span, crawled - lag(crawled) OVER w AS d FROM s WHERE seq % 50 = 0 WINDOW w AS (PARTITION BY shard ORDER BY elapsed))
+g AS (SELECT shard, seq, elapsed - lag(elapsed) OVER w AS span, crawled - lag(crawled) OVER w AS d FROM s WINDOW w AS (PARTITION BY shard ORDER BY elapsed, crawled))
 SELECT shard, seq, round(CASE WHEN span > 0 THEN d / span END, 9) AS percent FROM g""",
     "failure_streaks": f"""WITH {_C}, f AS (SELECT user_id, t, event_id, event_type IN ('error', 'click') AS failed FROM c),
 e AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS era FROM f),
