@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfrontier.functions.urls import host
@@ -26,6 +26,29 @@ def slot_of_host(h: Column) -> Column:
     return F.when(h == "", "__nohost__").when(h.rlike(_IP) | bare, h).when(listed != "", listed).when(h.rlike(r"[^.]\.[^.]+$"), F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)).otherwise(h)
 
 
+def registered(hosts: DataFrame, rules: DataFrame, host_col: str = "host") -> DataFrame:
+    """hosts with slot by the public suffix rules (rule): the longest suffix and one label more.
+
+    Rules are plain names, `*.name` for any label in front of it, and `!name` for an exception. An exception wins; a host
+    under no rule, or one that is a suffix itself, is its own slot, and so is an address; null and empty are __nohost__.
+    Each different host is looked up once.
+    """
+    h = F.lower(F.coalesce(F.col(host_col), F.lit("")))
+    names = hosts.select(h.alias("name")).distinct().where((F.col("name") != "") & ~F.col("name").rlike(_IP))
+    names = names.withColumn("labels", F.split(F.regexp_replace("name", r"\.$", ""), r"\.")).withColumn("n", F.size("labels"))
+    tail = lambda k: F.array_join(F.slice("labels", F.col("n") - k + 1, k), ".")
+    each = names.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    tried = F.array(
+        F.struct(tail(F.col("k")).alias("rule"), F.col("k").alias("public"), F.lit(0).alias("wins")),
+        F.struct(F.concat(F.lit("*."), tail(F.col("k"))).alias("rule"), (F.col("k") + 1).alias("public"), F.lit(0).alias("wins")),
+        F.struct(F.concat(F.lit("!"), tail(F.col("k"))).alias("rule"), (F.col("k") - 1).alias("public"), F.lit(1).alias("wins")),
+    )
+    found = each.select("name", "labels", "n", F.explode(tried).alias("x")).select("name", "labels", "n", "x.*").join(rules.select("rule").distinct(), "rule")
+    best = found.groupBy("name", "labels", "n").agg(F.max(F.struct("wins", "public"))["public"].alias("public")).where("n > public")
+    best = best.select("name", tail(F.col("public") + 1).alias("slot"))
+    return hosts.drop("slot").withColumn("name", h).join(best, "name", "left").withColumn("slot", F.coalesce("slot", F.when(F.col("name") == "", "__nohost__").otherwise(F.col("name")))).drop("name")
+
+
 def slot_key(url: Column) -> Column:
     return slot_of_host(host(url))
 

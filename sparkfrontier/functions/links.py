@@ -55,10 +55,15 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, link) of the different links of a page that may be followed, at their first position."""
+def normalized_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, link, pos) of the different canonical links of a page, at their first position; no filter rules."""
     based = pages.select("page_id", "url", F.coalesce(base_href(F.col("html")), F.col("url")).alias("base"), F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
     first = based.groupBy("page_id", "url", "base", "href").agg(F.min("pos").alias("pos"))  # a page's repeats are joined once
     # the generator keeps the filter above the function, which would else be evaluated for both
     linked = first.select("page_id", "url", "pos", F.explode(F.array(normalized("href", "base"))).alias("link")).where(F.col("link").isNotNull())
-    return linked.where(accepts(F.col("link"))).groupBy("page_id", "url", "link").agg(F.min("pos").alias("pos"))
+    return linked.groupBy("page_id", "url", "link").agg(F.min("pos").alias("pos"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """The normalized links of a page that the filter rules accept."""
+    return normalized_links(pages).where(accepts(F.col("link")))

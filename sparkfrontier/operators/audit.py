@@ -24,8 +24,10 @@ def politeness_verdict(rows: DataFrame, min_gap: float = DEFAULTS.min_gap, unche
 
 
 def violations(rows: DataFrame, min_gap: float, show: int = 20) -> DataFrame:
-    """The `show` shortest gaps under the minimum."""
-    return gaps(rows).where(F.col("gap") < min_gap - DEFAULTS.tolerance).orderBy("gap", "slot_id", "dispatch_ts").limit(show)
+    """The `show` shortest gaps under the minimum; not_shown: how many more there are."""
+    short = gaps(rows).where(F.col("gap") < min_gap - DEFAULTS.tolerance)
+    more = F.greatest(short.agg(F.count("*")).scalar() - show, F.lit(0))
+    return short.orderBy("gap", "slot_id", "dispatch_ts").limit(show).withColumn("not_shown", more)
 
 
 def guard_replay(rows: DataFrame, min_gap: float) -> DataFrame:

@@ -119,16 +119,25 @@ def admission_replay(events: DataFrame, queues: int = DEFAULTS.max_queues, cap:
     return events.select(F.col("shard").cast("int").alias("shard"), "seq", F.col("slot").cast("string").alias("slot"), "kind").repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(replay, _REPLAYED)
 
 
-def limiter_schedule(rows: DataFrame, delay: float = DEFAULTS.download_delay) -> DataFrame:
+def limiter_schedule(rows: DataFrame, delay: float = DEFAULTS.download_delay, completed: DataFrame | None = None, delays: DataFrame | None = None) -> DataFrame:
     """(slot, seq, arrive, rtt) with start: start_k = max(arrive_k, end of k-1 + delay), in closed form.
 
-    With S_k the service time in front of k, start_k = S_k + max over j <= k of (arrive_j - S_j).
+    With S_k the service time in front of k, start_k = S_k + max over j <= k of (arrive_j - S_j). completed (slot,
+    last_complete) is the history kept from before: a slot's first request waits for it too. delays (slot, crawl_delay), as
+    robots.effective_delay caps them, hold where they are longer than delay. Both have a row a slot at most.
     """
+    if delays is not None:
+        rows = rows.join(delays.select("slot", F.col("crawl_delay").cast("double").alias("crawl_delay")), "slot", "left")
+    if completed is not None:
+        rows = rows.join(completed.select("slot", "last_complete"), "slot", "left")
+    pause = F.greatest(F.lit(delay), F.col("crawl_delay")) if delays is not None else F.lit(delay)  # greatest skips null
     order = Window.partitionBy("slot").orderBy("arrive", "seq")
-    service = F.coalesce(F.sum(F.col("rtt") + delay).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    service = F.coalesce(F.sum(F.col("rtt") + pause).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("service", service)
     slack = F.max(F.col("arrive") - F.col("service")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("start", F.col("service") + slack).withColumn("waited", F.col("start") - F.col("arrive")).drop("service")
+    if completed is not None:
+        slack = F.greatest(slack, F.col("last_complete") + pause)
+    return rows.withColumn("start", F.col("service") + slack).withColumn("waited", F.col("start") - F.col("arrive")).drop("service", "crawl_delay", "last_complete")
 
 
 def shard_load(keys: DataFrame, key: str, shards: int) -> DataFrame:

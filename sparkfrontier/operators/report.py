@@ -11,14 +11,28 @@ from sparkfrontier.config import DEFAULTS
 from sparkfrontier.operators.running import numbered
 
 
-def crawl_metrics(rows: DataFrame) -> DataFrame:
-    """One row of totals, rates and the naive projection; rows without a sent stamp are counted apart."""
+def crawl_metrics(rows: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
+    """One row of totals, rates and naive projections; rows without a sent stamp are counted apart.
+
+    discovered (url) adds how many different links were found, how many that is per page, and their projection.
+    """
     out = rows.agg(
         F.count("*").alias("crawled"), F.count_if(F.col("status").startswith("2")).alias("ok"), F.sum("n_links").alias("links"), F.sum("bytes").alias("bytes"),
         F.count_if(F.col("sent_ts").isNull()).alias("missing_stamp"), F.count_distinct("slot_id").alias("domains"),
         F.greatest(F.max("recv_ts") - F.min("sent_ts"), F.lit(1e-6)).alias("elapsed"),
     )
-    return out.withColumns({"pages_per_s": F.col("crawled") / F.col("elapsed"), "links_per_page": F.col("links") / F.col("crawled")}).withColumn("projected", F.col("pages_per_s") * DEFAULTS.projection_seconds)
+    out = out.withColumns({"pages_per_s": F.col("crawled") / F.col("elapsed"), "links_per_page": F.col("links") / F.col("crawled")})
+    out = out.withColumn("projected", F.col("pages_per_s") * DEFAULTS.projection_seconds)
+    if discovered is None:
+        return out
+    new = discovered.agg(F.count_distinct("url")).scalar()
+    out = out.withColumn("discovered_unique", new).withColumn("new_per_page", F.col("discovered_unique") / F.col("crawled"))
+    return out.withColumn("projected_links", F.col("projected") * F.col("new_per_page"))
+
+
+def parseable(rows: DataFrame) -> DataFrame:
+    """The rows whose response reaches the parser: status 2xx. A null status does not."""
+    return rows.where(F.col("status").startswith("2"))
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def politeness_pass(spark, sf_dir):
 
 
 def politeness_violations_top(spark, sf_dir):
-    return audit.violations(r.dispatched(spark, sf_dir), GAP).select("slot_id", F.round("dispatch_ts", 3).alias("dispatch_ts"), F.round("gap", 3).alias("gap"))
+    return audit.violations(r.dispatched(spark, sf_dir), GAP).select("slot_id", F.round("dispatch_ts", 3).alias("dispatch_ts"), F.round("gap", 3).alias("gap"), "not_shown")
 
 
 def gap_histogram(spark, sf_dir):
@@ -59,7 +59,7 @@ count(*) FILTER (gap < {{0}} - 0.05) AS violations, 0::BIGINT AS uncheckable, co
 ORACLE_SQL = {
     "politeness_verdict": _VERDICT.format(GAP),
     "politeness_pass": _VERDICT.format(0.001),
-    "politeness_violations_top": f"WITH {_D} SELECT slot_id, round(t, 3) AS dispatch_ts, round(gap, 3) AS gap FROM g WHERE gap < {GAP} - 0.05 ORDER BY g.gap, slot_id, t LIMIT 20",
+    "politeness_violations_top": f"WITH {_D} SELECT slot_id, round(t, 3) AS dispatch_ts, round(gap, 3) AS gap, greatest((SELECT count(*) FROM g WHERE gap < {GAP} - 0.05) - 20, 0)::BIGINT AS not_shown FROM g WHERE gap < {GAP} - 0.05 ORDER BY g.gap, slot_id, t LIMIT 20",
     "gap_histogram": f"WITH {_D} SELECT floor(gap / 3600)::BIGINT AS hours, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1",
     "guard_replay": f"""WITH {_D}, l AS (SELECT slot_id, count(*) AS n, list(t ORDER BY t, event_id) AS ts FROM d GROUP BY slot_id),
 a AS (SELECT slot_id, n, list_reduce(list_prepend({{'last': -1e18::DOUBLE, 'k': 0::BIGINT}}, list_transform(ts, lambda x: {{'last': x::DOUBLE, 'k': 1::BIGINT}})),

@@ -72,6 +72,15 @@ def limiter_schedule(spark, sf_dir):
     return frontier.limiter_schedule(r.arrivals(spark, sf_dir), 1800.0).select("slot", "seq", F.round("start", 3).alias("start"), F.round("waited", 3).alias("waited"))
 
 
+def limiter_resumed(spark, sf_dir):
+    """The schedule after a restart: every third slot has a history, every fourth a crawl delay of its own."""
+    a = r.arrivals(spark, sf_dir)
+    completed = a.where("slot % 3 = 0").groupBy("slot").agg((F.min("arrive") + 10000.0).alias("last_complete"))
+    delays = a.select("slot").distinct().where("slot % 4 = 0").select("slot", F.when(F.col("slot") % 8 == 0, 3600.0).otherwise(60.0).alias("crawl_delay"))
+    out = frontier.limiter_schedule(a, 1800.0, completed, delays)
+    return out.select("slot", "seq", F.round("start", 3).alias("start"), F.round("waited", 3).alias("waited"))
+
+
 def shard_assignment(spark, sf_dir):
     return r.table(spark, sf_dir, "customer").select("c_custkey", shard_of(F.col("c_name"), 8).alias("shard"))
 
@@ -110,7 +119,7 @@ def exit_codes(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-QUERIES = {f.__name__: f for f in (url_fingerprint, dedup_first_seen, dedup_anti_join, url_hash128, per_domain_cap, per_domain_cap_resumed, admission_replay, queue_depth, wave_order, admission_caps, limiter_schedule, shard_assignment, shard_balance, handoff_counts, idle_slots, redirect_reroute, exit_codes)}
+QUERIES = {f.__name__: f for f in (url_fingerprint, dedup_first_seen, dedup_anti_join, url_hash128, per_domain_cap, per_domain_cap_resumed, admission_replay, queue_depth, wave_order, admission_caps, limiter_schedule, limiter_resumed, shard_assignment, shard_balance, handoff_counts, idle_slots, redirect_reroute, exit_codes)}
 
 _U = "u AS (SELECT page_id, split_part(url, '#', 1) AS url FROM pages)"
 _FP = """sha1('{"body": "", "headers": {}, "method": "GET", "url": "' || url || '"}')"""
@@ -136,6 +145,10 @@ v AS (SELECT seq, CASE WHEN rk > 12 AND (op + least(ex, 30) >= 12 OR el <= 300)
 SELECT verdict, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM v GROUP BY 1""",
     "limiter_schedule": f"""WITH {_A}, s AS (SELECT *, coalesce(sum(rtt + 1800) OVER (PARTITION BY slot ORDER BY arrive, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sv FROM a),
 t AS (SELECT slot, seq, arrive, sv + max(arrive - sv) OVER (PARTITION BY slot ORDER BY arrive, seq ROWS UNBOUNDED PRECEDING) AS start FROM s)
+SELECT slot, seq, round(start, 3) AS start, round(start - arrive, 3) AS waited FROM t""",
+    "limiter_resumed": f"""WITH {_A}, p AS (SELECT *, CASE WHEN slot % 8 = 0 THEN 3600 ELSE 1800 END AS pause, CASE WHEN slot % 3 = 0 THEN min(arrive) OVER (PARTITION BY slot) + 10000 END AS last FROM a),
+s AS (SELECT *, coalesce(sum(rtt + pause) OVER (PARTITION BY slot ORDER BY arrive, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sv FROM p),
+t AS (SELECT slot, seq, arrive, sv + greatest(max(arrive - sv) OVER (PARTITION BY slot ORDER BY arrive, seq ROWS UNBOUNDED PRECEDING), coalesce(last + pause, 0)) AS start FROM s)
 SELECT slot, seq, round(start, 3) AS start, round(start - arrive, 3) AS waited FROM t""",
     "shard_assignment": f"SELECT c_custkey, {_SHARD.format('c_name', 8)} AS shard FROM customer",
     "shard_balance": f"""WITH l AS (SELECT {_SHARD.format('c_name', 8)} AS shard, count(DISTINCT c_name) AS n FROM customer GROUP BY 1), k AS (SELECT coalesce(n, 0) AS n FROM range(8) r(i) LEFT JOIN l ON l.shard = r.i)

@@ -69,7 +69,25 @@ def origin_topk(spark, sf_dir):
 
 
 def normalize_urls(spark, sf_dir):
-    return links.page_links(_pages(spark, sf_dir))
+    return links.page_links(_pages(spark, sf_dir)).select("page_id", "url", "link", F.col("pos").cast("long").alias("pos"))
+
+
+def probe_link_counts(spark, sf_dir):
+    """What a probe of a page counts: its different canonical links."""
+    return links.normalized_links(_pages(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+#: Rules that the registered_domains query works with: the fixed names, some top-level ones, a wildcard and its exception.
+PUBLIC_RULES = [*domains.SUFFIXES, "com", "net", "org", "de", "uk", "*.ck", "!www.ck"]
+
+
+def registered_domains(spark, sf_dir):
+    """Hosts of pages and made ones under each kind of rule, by registered domain."""
+    rules = spark.createDataFrame([(x,) for x in PUBLIC_RULES], "rule string")
+    i = F.col("page_id") % 6
+    end = F.when(i == 0, ".co.uk").when(i == 1, ".a.ck").when(i == 2, ".www.ck").when(i == 3, ".github.io").when(i == 4, ".intranet").otherwise("")
+    hosts = _pages(spark, sf_dir).select(F.concat(urls.host(F.col("url")), end).alias("host"))
+    return domains.registered(hosts, rules).groupBy("slot").agg(F.count("*").alias("n"))
 
 
 def _rules(spark, sf_dir):
@@ -140,7 +158,7 @@ def seed_probe_rejects(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_hrefs, page_link_counts, links_topk, declarations, url_parts, url_accepts, url_reject_reasons, html_types, slot_counts, origin_topk, normalize_urls, robots_decision,
+        page_hrefs, page_link_counts, links_topk, declarations, url_parts, url_accepts, url_reject_reasons, html_types, slot_counts, origin_topk, normalize_urls, probe_link_counts, registered_domains, robots_decision,
         robots_audit, robots_backoff, crawl_delay, seed_infra_filter, seed_first_per_domain, seed_tld_quota, seed_tld_histogram, seed_probe_filter, seed_probe_rejects,
     )
 }
@@ -148,6 +166,8 @@ QUERIES = {
 _H = r"""h AS (SELECT page_id, url, unnest(hs) AS raw, unnest(range(0, len(hs))) AS pos FROM (
   SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*("[^"]+"|''[^'']+''|[^\s"''<>`]+)', 1) AS hs FROM pages)),
 k AS (SELECT page_id, url, pos, trim(raw, '"''') AS href FROM h)"""
+# The pages' links are paths; what stands unescaped in them are letters, digits, and the signs that are put back.
+_LINKS = rf"""{_H}, ln AS (SELECT page_id, url, pos, href, lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) || replace(replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%3A', ':'), '%3B', ';') AS link FROM k WHERE href <> '')"""
 _P = r"""p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)(\?([^#]*))?', ['scheme', 'netloc', 'path', 'q', 'query']) AS x FROM pages)"""
 _HARD = r"""w AS (SELECT page_id, page_id % 9 AS i, split_part(url, '#', 1) AS u, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
 v AS (SELECT CASE i WHEN 0 THEN 'extension' WHEN 1 THEN CASE WHEN len(regexp_replace(split_part(split_part(u, '://', 2), '?', 1), '[^/]', '', 'g')) + 8 > 8 THEN 'depth' END WHEN 2 THEN 'params' WHEN 3 THEN 'session' WHEN 4 THEN 'port' WHEN 6 THEN 'scheme' WHEN 7 THEN 'length' END AS reason, page_id FROM w)"""
@@ -168,7 +188,17 @@ t AS (SELECT domain, rank, tld, before + nth AS position FROM n WHERE nth <= quo
 picked AS (SELECT domain, rank, tld, position::BIGINT AS position FROM t WHERE position <= 100)"""
 _PROBE = f"""{_H}, f AS (SELECT page_id, count(DISTINCT href) % 8 AS links FROM k WHERE href <> '' GROUP BY 1),
 pr AS (SELECT url, page_id AS rank, CASE WHEN page_id % 7 = 0 THEN 'timeout' WHEN page_id % 5 = 0 THEN 'not html' ELSE 'ok' END AS note, links FROM pages JOIN f USING (page_id))"""
+_PUBLIC = f"""rules AS (SELECT unnest({PUBLIC_RULES!r}) AS rule),
+ho AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || (['.co.uk', '.a.ck', '.www.ck', '.github.io', '.intranet', ''])[page_id % 6 + 1] AS host FROM pages),
+tl AS (SELECT host, string_split(host, '.') AS ls, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM (SELECT DISTINCT host FROM ho)),
+tr AS (SELECT host, ls, k, array_to_string(ls[len(ls) - k + 1 :], '.') AS tail, array_to_string(ls[len(ls) - k + 2 :], '.') AS shorter FROM tl),
+hit AS (SELECT host, ls, CASE WHEN '!' || tail IN (SELECT rule FROM rules) THEN 1000 + k - 1 WHEN tail IN (SELECT rule FROM rules) OR k > 1 AND '*.' || shorter IN (SELECT rule FROM rules) THEN k END AS public FROM tr),
+best AS (SELECT host, ls, max(public) % 1000 AS public FROM hit GROUP BY host, ls),
+so AS (SELECT host, CASE WHEN public IS NULL OR len(ls) <= public THEN host ELSE array_to_string(ls[len(ls) - public :], '.') END AS slot FROM best)"""
 ORACLE_SQL = {
+    "normalize_urls": f"WITH {_LINKS} SELECT page_id, url, link, min(pos) AS pos FROM ln GROUP BY 1, 2, 3",
+    "probe_link_counts": f"WITH {_LINKS} SELECT page_id, count(DISTINCT link) AS links FROM ln GROUP BY 1",
+    "registered_domains": f"WITH {_PUBLIC} SELECT slot, count(*) AS n FROM ho JOIN so USING (host) GROUP BY slot",
     "page_hrefs": f"WITH {_H} SELECT page_id, pos, href FROM k WHERE href <> ''",
     "page_link_counts": f"WITH {_H} SELECT page_id, count(*) AS links, count(DISTINCT href) AS different FROM k WHERE href <> '' GROUP BY 1",
     "links_topk": f"WITH {_H} SELECT href, count(*) AS n FROM k WHERE href <> '' GROUP BY 1 ORDER BY n DESC, href LIMIT 20",

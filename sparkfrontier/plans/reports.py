@@ -15,8 +15,10 @@ BUCKET = 86_400.0
 
 
 def crawl_metrics(spark, sf_dir):
-    out = report.crawl_metrics(r.crawled(spark, sf_dir))
-    return out.select("crawled", "ok", "links", "bytes", "missing_stamp", "domains", *[F.round(c, 6).alias(c) for c in ("elapsed", "pages_per_s", "links_per_page")], F.round("projected", 3).alias("projected"))
+    found = page_hrefs(r.table(spark, sf_dir, "pages")).select(F.col("href").alias("url"))
+    out = report.crawl_metrics(r.crawled(spark, sf_dir), found)
+    rates = [F.round(c, 6).alias(c) for c in ("elapsed", "pages_per_s", "links_per_page", "new_per_page")]
+    return out.select("crawled", "ok", "links", "bytes", "missing_stamp", "domains", "discovered_unique", *rates, *[F.round(c, 3).alias(c) for c in ("projected", "projected_links")])
 
 
 def status_counts(spark, sf_dir):
@@ -29,7 +31,7 @@ def latency_p50_p90(spark, sf_dir):
 
 
 def unique_ok(spark, sf_dir):
-    return r.crawled(spark, sf_dir).where(F.col("status").startswith("2")).agg(F.count_distinct("url").alias("unique_ok"), F.count("*").alias("rows_ok"))
+    return report.parseable(r.crawled(spark, sf_dir)).agg(F.count_distinct("url").alias("unique_ok"), F.count("*").alias("rows_ok"))
 
 
 def discovered_unique(spark, sf_dir):
@@ -59,7 +61,7 @@ def domain_growth_curve(spark, sf_dir):
 
 def growth_fit(spark, sf_dir):
     out = report.growth_fit(_curve(spark, sf_dir))
-    return out.select(F.col("peak").cast("long").alias("peak"), *[F.round(c, 6).alias(c) for c in ("linear_r2", "root_r2", "early", "late", "slowdown")], "verdict", F.round("projected", 1).alias("projected"))
+    return out.select(F.col("peak").cast("long").alias("peak"), *[F.round(c, 6).alias(c) for c in ("linear_k", "root_k", "linear_r2", "root_r2", "early", "late", "slowdown")], "verdict", F.round("projected", 1).alias("projected"))
 
 
 def resource_peaks(spark, sf_dir):
@@ -91,9 +93,10 @@ p AS (SELECT j, mark, n, j + max(f - j) OVER (ORDER BY j) AS rn FROM m),
 curve AS (SELECT (p.j - 1)::INT AS i, p.mark AS t, y.seen::BIGINT AS domains FROM p JOIN y ON p.rn = y.rn
   UNION ALL SELECT (SELECT count(*) FROM p JOIN y ON p.rn = y.rn)::INT, (SELECT span FROM b), (SELECT max(seen) FROM y)::BIGINT)"""
 ORACLE_SQL = {
-    "crawl_metrics": f"""WITH {_C} SELECT count(*) AS crawled, count(*) FILTER (status LIKE '2%') AS ok, sum(k)::BIGINT AS links, sum(event_id % 4096)::BIGINT AS bytes, 0::BIGINT AS missing_stamp,
-  count(DISTINCT user_id) AS domains, round(max(recv) - min(sent), 6) AS elapsed, round(count(*) / (max(recv) - min(sent)), 6) AS pages_per_s, round(sum(k) / count(*), 6) AS links_per_page,
-  round(count(*) / (max(recv) - min(sent)) * 172800, 3) AS projected FROM c""",
+    "crawl_metrics": f"""WITH {_C}, f AS (SELECT count(DISTINCT h) AS u FROM (SELECT trim(unnest({_HREF}), '"''') AS h FROM pages) WHERE h <> ''),
+m AS (SELECT count(*) AS n, count(*) FILTER (status LIKE '2%') AS ok, sum(k) AS k, sum(event_id % 4096) AS b, count(DISTINCT user_id) AS d, max(recv) - min(sent) AS s FROM c)
+SELECT n AS crawled, ok, k::BIGINT AS links, b::BIGINT AS bytes, 0::BIGINT AS missing_stamp, d AS domains, u AS discovered_unique, round(s, 6) AS elapsed, round(n / s, 6) AS pages_per_s,
+  round(k / n, 6) AS links_per_page, round(u / n, 6) AS new_per_page, round(n / s * 172800, 3) AS projected, round(n / s * 172800 * (u / n), 3) AS projected_links FROM m, f""",
     "status_counts": f"WITH {_C} SELECT status, count(*) AS n FROM c GROUP BY 1",
     "latency_p50_p90": f"""WITH {_C}, l AS (SELECT recv - sent AS v, row_number() OVER (ORDER BY recv - sent) AS rn, count(*) OVER () AS n FROM c)
 SELECT round(max(v) FILTER (rn = floor(n * 0.5) + 1), 4) AS p50, round(max(v) FILTER (rn = floor(n * 0.9) + 1), 4) AS p90 FROM l""",
@@ -110,7 +113,7 @@ r AS (SELECT any_value(peak) AS peak, any_value(lk) AS lk, any_value(rk) AS rk,
   1 - sum((domains - rk * sqrt(t)) ** 2) / sum((domains - mean) ** 2) AS root_r2 FROM curve, f, (SELECT avg(domains) AS mean FROM curve)),
 z AS (SELECT (max(domains) FILTER (i = th) - max(domains) FILTER (i = 0)) / (max(t) FILTER (i = th) - max(t) FILTER (i = 0)) AS early,
   (max(domains) FILTER (i = n - 1) - max(domains) FILTER (i = n - th - 1)) / (max(t) FILTER (i = n - 1) - max(t) FILTER (i = n - th - 1)) AS late FROM curve, q)
-SELECT peak, round(linear_r2, 6) AS linear_r2, round(root_r2, 6) AS root_r2, round(early, 6) AS early, round(late, 6) AS late, round(CASE WHEN early > 0 THEN late / early END, 6) AS slowdown,
+SELECT peak, round(lk, 6) AS linear_k, round(rk, 6) AS root_k, round(linear_r2, 6) AS linear_r2, round(root_r2, 6) AS root_r2, round(early, 6) AS early, round(late, 6) AS late, round(CASE WHEN early > 0 THEN late / early END, 6) AS slowdown,
   CASE WHEN late <= 0 THEN 'turned over' WHEN greatest(linear_r2, root_r2) < 0.5 THEN 'unreliable' WHEN linear_r2 >= root_r2 THEN 'linear' ELSE 'root' END AS verdict,
   round(CASE WHEN late <= 0 THEN NULL WHEN linear_r2 >= root_r2 THEN lk * 172800 ELSE rk * sqrt(172800) END, 1) AS projected FROM r, z""",
     "resource_peaks": f"WITH {_S} SELECT shard, round(max(value), 6) AS peak_value, max(crawled) AS peak_crawled, count(DISTINCT user_id) AS domains, round(count(DISTINCT user_id) / 5.0, 6) AS ceiling_pages_per_s FROM s GROUP BY 1",
