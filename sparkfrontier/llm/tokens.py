@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer text is cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1 << 40, 1 << 63, 256, dtype="u8") | np.uint64(1)
