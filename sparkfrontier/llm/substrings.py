@@ -11,7 +11,9 @@ of those are read again at their source coordinates and compared window by windo
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfrontier.llm.common import only, packed, small, stage_out, table, text_id
-from sparkfrontier.llm.tokens import mix, powers, windows, word_hashes
+from sparkfrontier.llm.tokens import CHUNK, mix, powers, windows, word_hashes
 
 K, M = 20, 5
+#: Rows of windows, and bytes of kept text, that a task holds before it hands them on.
+OUT_ROWS, OUT_BYTES = 1 << 16, 1 << 22
 #: Windows handled at once; a longer text is taken in parts, and anchors are ordered by the 40 bits above the place in a part.
 PART = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
@@ -67,23 +71,43 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
 
+def _marks(spans: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and counts of the packed spans of a row, in no order."""
+    found = spans[row].values
+    both = found.to_numpy() if found is not None else np.zeros(0, "i8")
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of the spans."""
+    end = np.cumsum(count)
+    return np.repeat(start - (end - count), count) + np.arange(end[-1])
+
+
 def _checked_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tie, body, spans of windows) -> a row for each window in the spans, by two hashes of its words."""
+    names = ["h1", "h2", "doc", "tie", "start"]
     for batch in batches:
-        doc, tie, spans, out = batch.column("doc").to_numpy(), batch.column("tie").to_numpy(), batch.column("spans"), []
+        doc, tie, spans, out, held = batch.column("doc").to_numpy(), batch.column("tie").to_numpy(), batch.column("spans"), [], 0
         for row, words in word_hashes(batch.column("body")):
-            found = spans[row].as_py()
-            if not found or len(words) < K:
+            start, count = _marks(spans, row)
+            if not len(start) or len(words) < K:
                 continue
-            at = np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in found])
+            at = _each(start, count)
             one, two = windows(words, K)[at], windows(mix(words ^ np.uint64(0x5851F42D4C957F2D)), K)[at]
             out.append((one.view("i8"), two.view("i8"), np.full(len(at), doc[row]), np.full(len(at), tie[row]), at.astype("i4")))
+            held += len(at)
+            if held > OUT_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+                out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h1", "h2", "doc", "tie", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
 
 def _spans_by_doc(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    """The spans of a text in one list, each packed in a long: first window above 32 bits, number of windows below."""
+    both = F.shiftleft(F.col("start").cast("long"), 32) + F.col("count")
+    return spans.groupBy("doc", "tie").agg(F.collect_list(both).alias("spans"))
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -108,41 +132,76 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return later.select("doc", "tie", "start", "count").unionByName(shared.select("doc", "tie", "start", F.lit(1).alias("count")))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rest, body, copy, spans) -> rest with n_words, n_removed and the kept words joined by one space."""
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def _pieces(body: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, about CHUNK bytes at a time."""
+    at = 0
+    while at < len(body):
+        gap = _GAP.search(body, at + CHUNK)
+        end = gap.start() if gap else len(body)
+        yield body[at:end].split()
+        at = end
+
+
+def _covered(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each word up to the last covered one: is it in a window of the spans?"""
+    end = start + count + K - 1
+    edge = np.zeros(int(end.max(initial=0)) + 1, "i4")
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge[:-1], dtype="i4") > 0
+
+
+def _kept(body: bytes, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(words, removed words, kept words joined by one space) for each piece of a text; pieces that keep words begin with a space but for the first."""
+    at, any_yet = 0, False
+    for words in _pieces(body):
+        here = gone[at : at + len(words)]
+        at += len(words)
+        stay = [*compress(words, (~here).tolist()), *words[len(here) :]] if here.any() else words
+        yield len(words), len(words) - len(stay), (b" " if any_yet and stay else b"") + b" ".join(stay)
+        any_yet = any_yet or bool(stay)
+
+
+def _cut_into(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    """(rest, body, copy, spans) -> rest with n_words, n_removed and the kept words joined by one space, or their digest."""
     for batch in batches:
-        bodies, copies, spans = batch.column("body"), batch.column("copy").to_pylist(), batch.column("spans")
-        total, removed, kept = [], [], []
+        bodies, copies, spans = batch.column("body"), batch.column("copy"), batch.column("spans")
+        rest = batch.drop_columns(["body", "copy", "spans"])
+        total, removed, kept, size, done = [], [], [], 0, 0
         for row in range(batch.num_rows):
-            body = bodies[row].as_py()
-            words = body.encode().split() if body else []
-            n = len(words)
-            if copies[row]:
-                gone, words = (n, []) if n >= K else (0, words)
-            elif n >= K and (found := spans[row].as_py()):
-                edge = np.zeros(n + 1, "i8")
-                start = np.array([s["start"] for s in found])
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + np.array([s["count"] for s in found]) + K - 1, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                gone = n - int(keep.sum())
-                words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+            body = (bodies[row].as_py() or "").encode()
+            n = gone = 0
+            text, sha = [], hashlib.sha256()
+            whole = copies[row].as_py() and (n := sum(map(len, _pieces(body)))) >= K
+            if whole:
+                gone = n
             else:
-                gone = 0
+                n = 0
+                for words, less, part in _kept(body, _covered(*_marks(spans, row))):
+                    n, gone = n + words, gone + less
+                    sha.update(part) if digest else text.append(part)
             total.append(n)
             removed.append(gone)
-            kept.append(b" ".join(words).decode())
-        rest = [c for c in batch.schema.names if c not in ("body", "copy", "spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in rest), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-            names=[*rest, "n_words", "n_removed", "kept_text"],
-        )
+            kept.append(sha.hexdigest() if digest else b"".join(text).decode())
+            size += len(kept[-1])
+            if size > OUT_BYTES or row == batch.num_rows - 1:
+                out = rest.slice(done, row + 1 - done)
+                yield pa.RecordBatch.from_arrays(
+                    [*out.columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                    names=[*out.schema.names, "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
+                )
+                total, removed, kept, size, done = [], [], [], 0, row + 1
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _cut_into(batches, False)
 
 
 def _cut_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _cut(batches):
-        digest = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column("kept_text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(digest, pa.string())], names=[*batch.schema.names[:-1], "kept_sha256"])
+    return _cut_into(batches, True)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:

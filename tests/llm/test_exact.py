@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,24 @@ def test_substrings_are_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+@pytest.mark.parametrize("chunk", [3, 17, 1 << 18])
+def test_words_are_cut_in_pieces(monkeypatch, chunk):
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    for _ in range(200):
+        n = rng.randrange(120)
+        body = "".join(rng.choice(["ab", "c\x1c", "é", " x"]) + rng.choice([" ", "\n", "\t \r", "\x0b"]) for _ in range(n))
+        spans = [] if n < 20 else [(at := rng.randrange(n - 19), rng.randrange(1, n - 18 - at)) for _ in range(rng.randrange(4))]
+        copy = rng.random() < 0.2
+        gone = [n >= 20 if copy else any(a <= i < a + c + 19 for a, c in spans) for i in range(n)]
+        want = b" ".join(w for w, g in zip(body.encode().split(), gone, strict=True) if not g).decode()
+        packed = None if copy or not spans else [(a << 32) + c for a, c in spans]
+        batch = pa.RecordBatch.from_pydict({"rest": [5], "body": [body], "copy": [copy], "spans": pa.array([packed], pa.list_(pa.int64()))})
+        (text,), (digest,) = substrings._cut(iter([batch])), substrings._cut_digest(iter([batch]))
+        assert text.to_pylist() == [{"rest": 5, "n_words": n, "n_removed": sum(gone), "kept_text": want}]
+        assert digest.to_pylist()[0]["kept_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_base_statistics(spark):
     rows = [(1, "a b c a b c x"), (2, "l1\nl2\nl1\n \nl1\r"), (3, "#a $b |"), (4, None), (5, "é\x1c b"), (6, "q q q q q")]
     got = {r["i"]: r for r in rules.base_statistics(spark.createDataFrame(rows, "i int, text string"), "text").collect()}
